@@ -104,3 +104,37 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2:
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
+
+
+def emit_array(total: np.ndarray, cells: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """An accumulated array as rows (part, blob) of `cells` numbers each; parts that are all zero are left out."""
+    flat = total.ravel()
+    parts = [i for i in range(0, len(flat), cells) if flat[i : i + cells].any()]
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([i // cells for i in parts], pa.int32()), pa.array([flat[i : i + cells].tobytes() for i in parts], pa.binary())], names=["part", "blob"])
+
+
+def summed_array(rows: DataFrame, shape: tuple[int, ...], dtype: type, cells: int = 1 << 13) -> np.ndarray:
+    """The sum over tasks of what emit_array() gave: an array of fixed size, whatever the input.
+
+    Summed in two steps, first in as many groups as there are shuffle partitions, so that no task reads a part of every task.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, blob in zip(b["part"].to_pylist(), b["blob"].to_pylist(), strict=True):
+                a = np.frombuffer(blob, dtype)
+                held[part] = held[part] + a if part in held else a.copy()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([a.tobytes() for a in held.values()], pa.binary())], names=["part", "blob"])
+
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = "part int, blob binary"
+    first = rows.repartition(n, F.expr("pmod(xxhash64(spark_partition_id(), part), 1024)")).mapInArrow(add, kind)
+    total = np.zeros(int(np.prod(shape)), dtype)
+    for r in first.repartition(n, "part").mapInArrow(add, kind).toLocalIterator():
+        a = np.frombuffer(r["blob"], dtype)
+        total[r["part"] * cells : r["part"] * cells + len(a)] += a
+    return total.reshape(shape)

@@ -10,10 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, url_filter, warc
+from . import lang_id, quality_net, toxicity, url_filter, warc
 from .common import fold, tables
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held = tables(sf_dir, spark, "documents"), tables(sf_dir, spark, "labels"), fold("doc_id", 4) == 2
+    return toxicity.tag(docs, toxicity.train(docs, labels, held), held)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.archive_and_read(tables(sf_dir, spark, "pages"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -28,8 +33,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, lang_id.train(docs, held), held)
 
 
+def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held = tables(sf_dir, spark, "documents"), tables(sf_dir, spark, "labels"), fold("doc_id", 3) == 1
+    table = quality_net.context_table(docs)
+    return quality_net.classify(docs, quality_net.train(docs, labels, held, table), table, held)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op4_url_filter, op5_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op4_url_filter, op5_language_id, op10_quality_net)}
 
 
 ORACLE = {
