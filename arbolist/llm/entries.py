@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, quality_net, sentencepiece_codec, toxicity, url_filter, warc
+from . import lang_id, quality_net, quality_rules, sentencepiece_codec, toxicity, url_filter, warc
 from .common import fold, tables
 
 
@@ -33,6 +33,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, lang_id.train(docs, held), held)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(tables(sf_dir, spark, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(tables(sf_dir, spark, "documents"))
 
@@ -44,7 +48,7 @@ def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op4_url_filter, op5_language_id, op7_sentencepiece, op10_quality_net)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op4_url_filter, op5_language_id, op6_quality_rules, op7_sentencepiece, op10_quality_net)}
 
 
 ORACLE = {
