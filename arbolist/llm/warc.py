@@ -38,6 +38,8 @@ MIN_REVISIT = 100
 #: An archive is closed at this many bytes of records before compression.
 ARCHIVE_BYTES = 24 << 20
 TRAIN_BYTES, DICT_BYTES = 1 << 20, 64 << 10
+#: Bytes that a reader hands to the decompressor at once.
+WINDOW = 1 << 14
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "archive string, records long, bytes long, dict_bytes long"
 
@@ -118,13 +120,14 @@ def read_archive(data: bytes) -> Iterator[tuple[int, bytes]]:
     d = zstd.ZstdDecompressor(dict_data=own) if own else zstd.ZstdDecompressor()
     view = memoryview(data)
     while at < len(data):
-        o = d.decompressobj()
-        rec = o.decompress(view[at:])
-        used = len(data) - at - len(o.unused_data)
-        if not o.eof or used <= 0:
-            raise ValueError(f"a frame at {at} is cut short")
+        o, rec, end = d.decompressobj(), b"", at
+        while not o.eof:  # a window at a time: what a frame leaves over is copied
+            if end >= len(data):
+                raise ValueError(f"a frame at {at} is cut short")
+            rec += o.decompress(view[end : end + WINDOW])
+            end = min(end + WINDOW, len(data))
         yield at, rec
-        at += used
+        at = end - len(o.unused_data)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
