@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, pii, quality_net, quality_rules, sentencepiece_codec, toxicity, url_filter, warc
+from . import lang_id, pii, quality_net, quality_rules, sentencepiece_codec, signature_tree, toxicity, url_filter, warc
 from .common import fold, tables
 
 
@@ -45,6 +45,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(tables(sf_dir, spark, "documents"))
 
 
+def op9_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.join(tables(sf_dir, spark, "documents"))
+
+
 def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, held = tables(sf_dir, spark, "documents"), tables(sf_dir, spark, "labels"), fold("doc_id", 3) == 1
     table = quality_net.context_table(docs)
@@ -52,7 +56,7 @@ def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op4_url_filter, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_pii, op10_quality_net)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op4_url_filter, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_pii, op9_signature_tree, op10_quality_net)}
 
 
 ORACLE = {
