@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, pii, quality_net, quality_rules, sentencepiece_codec, signature_tree, toxicity, url_filter, warc
+from . import decontaminate, lang_id, pii, quality_net, quality_rules, sentencepiece_codec, signature_tree, toxicity, url_filter, warc
 from .common import fold, tables
 
 
@@ -24,6 +24,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(tables(sf_dir, spark, "documents"), tables(sf_dir, spark, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(tables(sf_dir, spark, "pages"))
 
@@ -56,7 +60,7 @@ def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op4_url_filter, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_pii, op9_signature_tree, op10_quality_net)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontaminate, op4_url_filter, op5_language_id, op6_quality_rules, op7_sentencepiece, op8_pii, op9_signature_tree, op10_quality_net)}
 
 
 ORACLE = {
