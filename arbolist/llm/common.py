@@ -114,8 +114,8 @@ def emit_array(total: np.ndarray, cells: int = 1 << 13) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([i // cells for i in parts], pa.int32()), pa.array([flat[i : i + cells].tobytes() for i in parts], pa.binary())], names=["part", "blob"])
 
 
-def summed_array(rows: DataFrame, shape: tuple[int, ...], dtype: type, cells: int = 1 << 13) -> np.ndarray:
-    """The sum over tasks of what emit_array() gave: an array of fixed size, whatever the input.
+def summed_array(rows: DataFrame, shape: tuple[int, ...], dtype: type, cells: int = 1 << 13, join: np.ufunc = np.add) -> np.ndarray:
+    """The sum (or another join) over tasks of what emit_array() gave: an array of fixed size, whatever the input.
 
     Summed in two steps, first in as many groups as there are shuffle partitions, so that no task reads a part of every task.
     """
@@ -125,7 +125,7 @@ def summed_array(rows: DataFrame, shape: tuple[int, ...], dtype: type, cells: in
         for b in batches:
             for part, blob in zip(b["part"].to_pylist(), b["blob"].to_pylist(), strict=True):
                 a = np.frombuffer(blob, dtype)
-                held[part] = held[part] + a if part in held else a.copy()
+                held[part] = join(held[part], a) if part in held else a.copy()
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([a.tobytes() for a in held.values()], pa.binary())], names=["part", "blob"])
 
@@ -136,5 +136,6 @@ def summed_array(rows: DataFrame, shape: tuple[int, ...], dtype: type, cells: in
     total = np.zeros(int(np.prod(shape)), dtype)
     for r in first.repartition(n, "part").mapInArrow(add, kind).toLocalIterator():
         a = np.frombuffer(r["blob"], dtype)
-        total[r["part"] * cells : r["part"] * cells + len(a)] += a
+        at = slice(r["part"] * cells, r["part"] * cells + len(a))
+        total[at] = join(total[at], a)
     return total.reshape(shape)

@@ -48,19 +48,35 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+#: Edges that one task may hold. A graph that is as small, or has become so by contraction, is finished in one step.
+SMALL = 200_000
+
+
+def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) for all nodes of the few edges that the one task reads."""
+    held = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches]
+    if held:
+        node, root = roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "to"])
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, comp) for every node of edges (a long, b long): comp is a node of its component.
 
     Every round contracts each node into its smallest neighbour; the graph at least halves, so rounds grow with the logarithm
-    of the nodes, and no task holds a component. Each round's tables are written, so lineage stays short.
+    of the nodes, and no task holds a component of unbounded size: only a graph of at most SMALL edges goes to one task. Each
+    round's tables are written, so lineage stays short.
     """
     spark = edges.sparkSession
     kind = "a long, b long"
     e = edges.select("a", "b").where("a <> b").mapInArrow(forest, kind)
     e = written(e.repartition("a").mapInArrow(forest, kind).distinct(), f"{folder}/e0")
     maps: list[DataFrame] = []
-    while not e.isEmpty():
+    while (left := e.count()) > 0:
         k = len(maps)
+        if left <= SMALL:
+            maps.append(written(e.coalesce(1).mapInArrow(named, "node long, to long"), f"{folder}/m{k}"))
+            break
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), f"{folder}/m{k}")
         maps.append(to)

@@ -96,23 +96,24 @@ def _joined(parts: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[np.nda
 
 
 def nodes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, node, and prefix (hashes of its first shingles, as bytes) for each document."""
+    """doc_id, n, node, bits, and prefix (hashes of its first shingles, as bytes) for each document."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counts)  # 2 ** SKETCH_BITS counters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, prefix = [], [], []
+            n, node, bits, prefix = [], [], [], []
             for s in sets(b["text"]):
                 n.append(len(s))
                 node.append(name_of(s))
+                bits.append(bitmap(s).tobytes())
                 p = prefix_size(len(s)) if len(s) else 0
                 order = np.lexsort((s, shared.value[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]))[:p]
                 prefix.append(s[order].tobytes())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "node", "bits", "prefix"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, node long, prefix binary")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, node long, bits binary, prefix binary")
 
 
 def cells(rows: DataFrame, parts: int) -> DataFrame:
@@ -348,25 +349,9 @@ def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
     rows = written(nodes(docs, counts), f"{folder}/nodes")
     cell = written(cells(rows, parts), f"{folder}/cells")
 
-    # Bitmaps, of nodes in cells only; then, for nodes that have a partner, sets: each from the text of one document.
-    alive = cell.select("node").distinct()
-    first = rows.join(alive, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    first = written(first, f"{folder}/first")
-
-    def extract(of: DataFrame, what, column: str) -> DataFrame:
-        """(node, column) from the texts of the documents of `of` (node, doc_id)."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                got = [(name_of(s), what(s)) for s in sets(b["text"])]
-                keep = [(v, x.tobytes()) for (v, x), own in zip(got, b["node"].to_pylist(), strict=True) if v == own]
-                if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in keep], pa.int64()), pa.array([x for _, x in keep], pa.binary())], names=["node", column])
-
-        ids = of.select(F.col("doc_id").alias("_d"), "node")
-        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "text").mapInArrow(run, f"node long, {column} binary").dropDuplicates(["node"])
-
-    bits = written(extract(first, bitmap, "bits").join(first.select("node", "n"), "node"), f"{folder}/bits")
+    # One row for each node in a cell. Copies meet before the shuffle.
+    first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+    bits = written(first.join(cell.select("node").distinct(), "node", "left_semi"), f"{folder}/bits")
     links = compared = None
     comp, limit, k, took = None, 2, 0, None
     while True:
@@ -383,7 +368,7 @@ def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
         pairs = written(pairs, f"{folder}/pairs{k}")
         if k == 0:
             partners = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node"))
-            full = written(extract(first.join(partners, "node"), lambda s: s, "elements"), f"{folder}/sets")
+            full = written(elements(docs, bits.join(partners, "node").select("node", "doc_id")), f"{folder}/sets")
         new = written(verify(pairs, full), f"{folder}/links{k}")
         links = new if links is None else links.union(new)
         compared = pairs if compared is None else compared.union(pairs)
@@ -398,6 +383,64 @@ def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
     return ids.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def elements(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """(node, elements): the sets of nodes, each from the text of one document; of: (node, doc_id).
+
+    Texts are not shuffled: a Bloom filter of the ids, of bounded size, says which to take sets from, and the sets are
+    joined. Where there are too many ids for it to tell them apart, only more sets are taken than needed.
+    """
+    spark = docs.sparkSession
+    of = written(of, f"{shared_dir(spark)}/of")
+    size = 1 << min(27, max(16, int(16 * of.count()).bit_length()))
+
+    def places(ids: pa.Array) -> list[np.ndarray]:
+        h = ids.to_numpy().view(np.uint64)
+        return [(mix(h + U(k)) & U(size - 1)).astype(np.int64) for k in (1, 2)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size >> 3, np.uint8)
+        for b in batches:
+            for at in places(b["h"]):
+                np.bitwise_or.at(total, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield from emit_array(total)
+
+    h = F.xxhash64("doc_id").alias("h")
+    shared = spark.sparkContext.broadcast(summed_array(of.select(h).mapInArrow(mark, "part int, blob binary"), (size >> 3,), np.uint8, join=np.bitwise_or))  # 16 MB at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.logical_and(*((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in places(b["h"])))
+            got = [(name_of(s), s.tobytes()) for s in sets(b["text"].filter(pa.array(own)))]
+            if got:
+                yield pa.RecordBatch.from_arrays([b["doc_id"].filter(pa.array(own)), pa.array([v for v, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["doc_id", "node", "elements"])
+
+    found = docs.select("doc_id", "text", h).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, elements binary")
+    ids = of.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"))
+    return found.join(ids, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "elements").dropDuplicates(["node"])
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each component one document, with the columns it came with: that with the smallest id, and of equal ids one.
+
+    Rows are known by their id and a hash of all their columns; a null id counts as greater than any other.
+    """
+    spark = docs.sparkSession
+    folder = shared_dir(spark)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
+    ids = written(join(docs.select(row.alias("doc_id"), "text"), folder), f"{folder}/ids")
+    # Few documents go, so what goes is joined, not what stays.
+    gone = written(ids.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_row")).distinct(), f"{folder}/gone")
+    again = written(ids.groupBy(F.col("doc_id").alias("_row")).agg(F.count("*").alias("n")).where("n > 1").select("_row"), f"{folder}/again")
+    # A null within a row's name equals a null here: names are compared as text.
+    name = lambda c: F.concat_ws("|", F.coalesce(c["id"].cast("string"), F.lit("null")), c["hash"].cast("string"))
+    named = docs.withColumn("_name", name(row))
+    left = named.join(gone.select(name(F.col("_row")).alias("_name")), "_name", "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    twice = again.select(name(F.col("_row")).alias("_name"))
+    return left.join(twice, "_name", "left_anti").unionByName(left.join(twice, "_name", "left_semi").dropDuplicates(["_name"])).select(*docs.columns)
+
+
 def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
