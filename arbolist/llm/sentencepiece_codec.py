@@ -227,13 +227,14 @@ def read_model(spark: SparkSession, path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS) -> DataFrame:
-    """doc_id, n_tokens, token_ids and lossless (whether decoding gives the text again) for every document."""
+def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns to carry, n_tokens, token_ids and lossless (whether decoding gives the text again) for every document."""
     spark = docs.sparkSession
     small_batches(spark)
     data = read_model(spark, path)
     verify(data, list(PROBES))
     shared = spark.sparkContext.broadcast(data)  # a vocabulary: of fixed size
+    kept = ("doc_id", *carry)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         codec = Codec.of(shared.value, threads)
@@ -241,10 +242,11 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS) -> DataFr
         flat, offsets, same = codec.encode_flat(texts)
         if sample := [t for t, c in zip(texts, b["check"].to_pylist(), strict=True) if c]:
             verify(shared.value, sample)
-        return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.diff(offsets), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(same)], names=["doc_id", "n_tokens", "token_ids", "lossless"])
+        return pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(np.diff(offsets), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(same)], names=[*kept, "n_tokens", "token_ids", "lossless"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARITY_EVERY)) == 0, F.lit(False)).alias("check"))
-    return rows.mapInArrow(by_batch(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens int, token_ids array<int>, lossless boolean")
+    rows = docs.select(*kept, F.col("text").cast("string").alias("text"), F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARITY_EVERY)) == 0, F.lit(False)).alias("check"))
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(by_batch(run), ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_tokens int, token_ids array<int>, lossless boolean")
 
 
 def decode(tokens: DataFrame, path: str = MODEL, threads: int = THREADS) -> DataFrame:
