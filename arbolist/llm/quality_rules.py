@@ -69,6 +69,26 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("_f", F.struct(*(counts[k].cast("long").alias(k) for k in FEATURES))).drop("_h", "_l", "_t")
 
 
+def features(text: Column) -> Column:
+    """The struct `_f` of with_features() as one expression, in which everything is evaluated once wherever it is put.
+
+    A filter on columns would be pushed below the projection that makes them, and make them anew for each mention.
+    """
+
+    def count(t: Column, h: Column, lines: Column) -> Column:
+        n = lambda c: F.length(t) - F.length(without(t, c))
+        values = (F.size(h), F.length(without(t, SPACES)), n(SYMBOLS), F.size(lines) - F.size(F.array_distinct(lines)), repeated_words(h), n("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n(".?"), F.size(lines))
+        return F.struct(*(v.cast("long").alias(k) for k, v in zip(FEATURES, values, strict=True)))
+
+    def words(body: Column) -> Column:
+        return F.when(body == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))
+
+    def lines(t: Column) -> Column:
+        return F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+
+    return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(let(F.btrim(t, F.lit(SPACES)), words), lambda h: let(lines(t), lambda x: count(t, h, x))))
+
+
 def base_failed(f: Column) -> Column:
     return (f["n_words"] < 10) | (100 * f["n_repeat_words"] > 20 * f["n_words"])
 
@@ -164,5 +184,5 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that are kept, with the columns they came with. Texts are read twice rather than written once more."""
-    rows = with_features(docs)
-    return rows.where(verdict(F.col("_f"), fit(rows), threshold)).drop("_f")
+    model = fit(docs.select(features(F.col("text")).alias("_f")))
+    return docs.where(let(features(F.col("text")), lambda f: verdict(f, model, threshold)))
