@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Documents can be long, so batches hold few.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch. Documents can be long, so batches hold few.
+BATCH_ROWS, BATCH_BYTES = 256, "16m"
 
 
 def tables(sf_dir: str, spark: SparkSession, name: str) -> DataFrame:
@@ -22,6 +22,7 @@ def tables(sf_dir: str, spark: SparkSession, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Keep Python workers' memory low: documents can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
