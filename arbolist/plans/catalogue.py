@@ -29,7 +29,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = " ".join(sql.split())
+            ORACLES[f.__name__] = sql
         return f
 
     return add
