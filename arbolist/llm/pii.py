@@ -1,18 +1,23 @@
 """Personal data, with DataFrame functions only: patterns for protected entities, and terms that give entities away.
 
-Four kinds of entity are found by pattern: e-mail and IP addresses, card and phone numbers. For each entity, the words within
-CONTEXT characters of it are its terms. Over the whole corpus are counted: documents with an entity, documents with a term,
-documents with both, and the distinct contexts in which they meet (so that copies of one document count once there). A term
-discloses an entity to the extent
+Four kinds of entity are found by pattern: e-mail and IP addresses, card and phone numbers. What is protected is each entity
+and each kind (so that entities of one document count through what their kind has in common). The terms of a text are its
+words outside of entities: of four letters or more, with a digit, or short and written as names are (TERM). Over the whole
+corpus and whole texts are counted, in documents: n_e with an entity, n_t with a term, n_both with both; and n, the distinct
+texts with both, as copies are no further evidence. A term discloses an entity to the extent
 
-    PMI(entity, term) / IC(entity)   =   log(p(e, t) / (p(e) p(t))) / -log p(e)
+    PMI(entity, term) / IC(entity)   =   log(p(e | t) / p(e)) / -log p(e),    p(e | t) = n_both / n_t * n / (n + PRIOR)
 
-which is 1 where the term alone points to the entity. Terms with at least SUPPORT contexts and a disclosure of at least THRESHOLD
-are spans too (kind `term`), wherever they stand in documents with that entity; sanitise() removes entities and generalises
-terms to their kind.
+which is near 1 where the term alone points to the entity; the smoothed p(e | t) asks for the more texts the commoner the
+entity is, and counts entities of one text too. (One text is enough from 1,024 documents on: there, a word of one document
+points to each entity of that document.) Terms with a disclosure of at least THRESHOLD are spans too (kind `term`),
+wherever they stand outside of entities in documents with that entity; sanitise() removes entities and generalises terms to
+their kind.
 
 Counts are taken per document before any shuffle, and are pre-aggregated per task, so that an entity or a word that a third
-of all documents share is a row for each task. What documents disclose is joined back by a hash of the text.
+of all documents share is a row for each task. Entities of the same texts have the same counts and are one key. Words that
+no entity can reach are dropped before they are paired. What documents disclose is joined back by a hash of the text, to the
+documents with entities alone. Words are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no span; offsets are code points, ends exclusive; repeated texts get the same
 spans; other columns pass through in sanitise(), and are ignored in find().
@@ -36,8 +41,12 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 KINDS = ("email", "ip", "card", "phone")
-TERM = r"\p{L}{4,}"
-CONTEXT, SUPPORT, THRESHOLD = 60, 3, 0.9
+WORD = r"[\p{L}\p{N}]++"
+#: Words that can be terms: with a digit, of four letters or more, or of two or three with a capital or of a script without case.
+TERM = r"(?<![\p{L}\p{N}])(?:(?=\p{L}*+\p{N})[\p{L}\p{N}]{2,}+|\p{L}{4,}+|\p{Lu}\p{L}{1,2}+|\p{Lo}{2,3}+)(?![\p{L}\p{N}])"
+PRIOR, THRESHOLD = 1.0, 0.9
+#: Of an earlier estimate; the tests' brute force reads them, and nothing here is cut by them.
+CONTEXT, SUPPORT = 60, 3
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -90,52 +99,62 @@ def entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], F.lower(F.regexp_replace(span["value"], r"[^A-Za-z0-9@.]", "")))
 
 
-def around(span: Column) -> Column:
-    """The text on both sides of a span, without the words that the borders cut."""
-    t = F.col("_t")
-    begin = F.greatest(F.lit(0), span["start"] - CONTEXT)
-    before = F.substring(t, begin + 1, span["start"] - begin)
-    before = F.when(begin > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.substring(t, span["end"] + 1, F.lit(CONTEXT))
-    after = F.when(F.length(after) == CONTEXT, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    return F.lower(F.concat(before, F.lit(" "), after))
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans' characters."""
+    kind = "struct<at:int,out:string>"
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.greatest(F.lit(0), s["start"] - acc["at"])
+        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, gap), F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["at"]))))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), put.alias("out")).cast(kind)
+
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def word(x: Column) -> Column:
+    return F.xxhash64(F.lower(x))
 
 
-def terms_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+def terms_of(text: Column, pattern: str = TERM) -> Column:
+    """The distinct words of a text that a pattern finds, as hashes."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), word))
 
 
-def disclosing(docs: DataFrame, folder: str, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(h, terms): for a text's hash the terms that disclose an entity of that text, from counts over all documents."""
-    spark = docs.sparkSession
+def disclosing(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(h, terms): for a text's hash the hashes of the terms that disclose an entity of that text, from counts over all documents."""
     texts = docs.select("text")
-    meets = F.flatten(F.transform("_e", lambda s: let(around(s), lambda c: F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit(TERM), F.lit(0))), lambda w: F.struct(entity(s).alias("e"), w.alias("t"), F.xxhash64(c).alias("c"))))))
-    own = written(with_entities(texts).where(F.size("_e") > 0).select(F.xxhash64("_t", F.lit(1)).alias("h"), F.array_distinct(F.transform("_e", entity)).alias("es"), F.array_distinct(meets).alias("m")), f"{folder}/entities")  # no texts
-    both = own.select(F.explode("m").alias("m")).select("m.*").groupBy("e", "t", "c").agg(F.count("*").alias("n")).groupBy("e", "t").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both")).where(F.col("contexts") >= support)
-    both = written(both, f"{folder}/both")
-    if both.isEmpty():
-        return spark.createDataFrame([], "h long, terms array<string>")
-    n_e = own.select(F.explode("es").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    n_t = texts.select(F.explode(terms_of(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    total = F.lit(float(docs.count()))
-    ic = -F.log(F.col("n_e") / total)
-    share = F.log(F.col("n_both") * total / (F.col("n_e") * F.col("n_t"))) / ic
-    found = both.join(n_e, "e").join(n_t, "t").where((ic > 0) & (share >= threshold)).select("e", "t")
-    found = written(found, f"{folder}/found")
-    return own.select("h", F.explode("es").alias("e")).distinct().join(found, "e").groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("terms"))
+    total = float(docs.count())
+    own = with_entities(texts).where(F.size("_e") > 0).select(F.xxhash64("_t", F.lit(1)).alias("h"), F.array_distinct(F.transform("_e", entity)).alias("es"), F.array_distinct(F.transform("_e", lambda s: s["kind"])).alias("kinds"), terms_of(blanked(F.col("_t"), F.col("_e"))).alias("ts"))  # no texts
+    own = written(own.groupBy("h").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("es", "kinds", "ts"))), f"{folder}/entities")
+    # Keys: entities by the texts that hold them, and kinds; each with its number of documents.
+    held = own.select("h", "m", F.explode("es").alias("e"))
+    sets = held.groupBy("e").agg(F.xxhash64(F.count("*"), F.bit_xor("h")).alias("k"), F.sum("m").alias("n_e"))
+    keys = held.join(sets, "e").groupBy("h").agg(F.collect_set(F.struct("k", "n_e")).alias("ks"))
+    n_kind = own.agg(*(F.coalesce(F.sum(F.when(F.array_contains("kinds", k), F.col("m"))), F.lit(0)).alias(k) for k in KINDS)).first()
+    kinds = F.filter(F.array(*(F.struct(F.xxhash64(F.lit(k)).alias("k"), F.lit(n_kind[k]).cast("long").alias("n_e"), F.lit(k).alias("kind")) for k in KINDS)), lambda x: F.array_contains("kinds", x["kind"]))
+    # Words that may disclose: an entity of one document has the least probability, and asks for the smallest p(e | t).
+    at = own.select("h", "m", F.explode("ts").alias("t"))
+    n_t = texts.select(F.explode(terms_of(F.coalesce(F.col("text").cast("string"), F.lit("")), WORD)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    beside = at.groupBy("t").agg(F.sum("m").alias("n_both"), F.count("*").alias("n"))
+    given = F.col("n_both") / F.col("n_t") * F.col("n") / (F.col("n") + PRIOR)
+    may = n_t.join(beside, "t").where(given >= max(1.0, total) ** (threshold - 1) * (1 - 1e-9)).select("t", "n_t")
+    least = lambda n_e: F.pow(n_e / total, F.lit(1 - threshold)) * (1 - 1e-9)
+    reach = F.filter(F.concat("ks", F.transform(kinds, lambda x: F.struct(x["k"].alias("k"), x["n_e"].alias("n_e")))), lambda x: (x["n_e"] < total) & (F.least(x["n_e"], F.col("n_t")) / F.col("n_t") >= least(x["n_e"])))
+    pairs = at.join(may, "t").join(keys.join(own.select("h", "kinds"), "h"), "h").select("h", "m", "t", "n_t", F.explode(reach).alias("x")).select("h", "m", "t", "n_t", "x.*")
+    pairs = written(pairs, f"{folder}/pairs")
+    found = pairs.groupBy("k", "t").agg(F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.sum("m").alias("n_both"), F.count("*").alias("n")).where(given >= least(F.col("n_e"))).select("k", "t")
+    return pairs.select("h", "k", "t").join(found, ["k", "t"]).groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("terms"))
 
 
 def with_spans(docs: DataFrame, folder: str) -> DataFrame:
-    """docs with `_t`, `_e` and `_s`: all spans, terms last."""
+    """docs with `_t`, `_e` and `_s`: all spans, terms last. Only documents with entities are dealt out to be joined."""
     told = written(disclosing(docs, folder), f"{folder}/told")
     out = with_entities(docs)
-    out = out.withColumn("_h", F.when(F.size("_e") > 0, F.xxhash64("_t", F.lit(1))))  # others join nothing
-    if told.isEmpty():
-        return out.drop("_h").withColumn("_s", F.col("_e"))
-    out = out.join(told.withColumnsRenamed({"h": "_th", "terms": "_terms"}), F.col("_h") == F.col("_th"), "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
-    more = F.when(F.size("_terms") > 0, placed(F.col("_t"), pattern, "term", lambda _: F.lit(True))).otherwise(F.array().cast(SPAN))
-    return out.withColumn("_s", F.concat("_e", more)).drop("_h", "_th", "_terms")
+    some = out.where(F.size("_e") > 0).withColumn("_h", F.xxhash64("_t", F.lit(1))).join(told.withColumnsRenamed({"h": "_th", "terms": "_terms"}), F.col("_h") == F.col("_th"), "left")
+    more = placed(blanked(F.col("_t"), F.col("_e")), F.lit(WORD), "term", lambda x: F.array_contains("_terms", word(x)))
+    some = some.withColumn("_s", F.when(F.size("_terms") > 0, F.concat("_e", more)).otherwise(F.col("_e"))).drop("_h", "_th", "_terms")
+    return out.where(F.size("_e") == 0).withColumn("_s", F.col("_e")).unionByName(some)
 
 
 def listed(spans: Column) -> Column:

@@ -317,3 +317,46 @@ def test_benchmark_passages_are_found(spark):
     assert left.columns == rows.columns and left.count() == rows.count() - len({d for d, _ in got})
     assert decontaminate.search(rows, more.limit(0)).count() == 0 and decontaminate.search(rows.limit(0), more).count() == 0
     assert entries.ORACLE.keys() <= entries.queries().keys()
+
+
+def disclosed(spark, rows):
+    """For each document the terms that pii.find() gives, and the same by brute force."""
+    texts = dict(rows)
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(docs_of(spark, rows)).collect()}
+    got = {i: {texts[i][int(x.split(":")[1]) : int(x.split(":")[2])].lower() for x in s.split(",") if x.startswith("term")} for i, s in spans.items()}
+    with_keys, all_words = {}, collections.Counter()
+    for i, t in rows:
+        found, rest = spans_of(t), t
+        for _, a, b in found:
+            rest = rest[:a] + " " * (b - a) + rest[b:]
+        terms = {x.lower() for x in re.findall(r"[^\W_]+", rest) if len(x) > 3 or (len(x) > 1 and (x[0].isupper() or re.search(r"\d", x) or not x.lower() != x.upper()))}
+        with_keys[i] = ({k for k, _, _ in found} | {(k, re.sub(r"[^A-Za-z0-9@.]", "", t[a:b]).lower()) for k, a, b in found}, terms)
+        all_words.update({x.lower() for x in re.findall(r"[^\W_]+", t)})
+    n_e, both, seen = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for i, t in rows:
+        n_e.update(with_keys[i][0])
+        for pair in ((e, w) for e in with_keys[i][0] for w in with_keys[i][1]):
+            both[pair] += 1
+            seen[pair].add(t)
+    n = len(rows)
+    told = {(e, w) for (e, w), c in both.items() if n_e[e] < n and math.log(c / all_words[w] * (k := len(seen[e, w])) / (k + pii.PRIOR) * n / n_e[e]) / math.log(n / n_e[e]) >= pii.THRESHOLD}
+    return got, {i: {w for w in with_keys[i][1] if any((e, w) in told for e in with_keys[i][0])} for i, _ in rows}
+
+
+def test_rare_entities_disclose(spark):
+    rng = np.random.default_rng(6)
+    vocab = [f"{a}{b}{c}ing" for a in "bcdfgklm" for b in "aeiou" for c in "nrst"]
+    rows = [(k, " ".join(str(x) for x in rng.choice(vocab, 30))) for k in range(1500)]
+    rows[:40] = [(k, f"{rows[k][1]} Telefon +49 30 {5550000 + k} bitte") for k in range(40)]  # each number once, one word for all
+    rows[40] = (40, rows[40][1] + " quillfeather q@one.example")  # one address of one text
+    got, want = disclosed(spark, rows)
+    assert got == want and all("telefon" in got[k] for k in range(40)) and "quillfeather" in got[40] and not any(got[k] for k in range(41, 1500))
+
+
+def test_terms_far_off_and_short(spark):
+    rows = [(k, f"{'filler words here ' * (k + 5)} Kim of X7 in {'more filler ' * (k + 9)} 王明 the end. Write to us: Jo's Shop, j@shop.example, Kim") for k in range(8)]
+    rows += [(100 + k, f"filler words more here in of the end {k % 7} write to us shop an li") for k in range(120)]
+    rows += [(300 + k, f"solitary unseen w@copied.example {'unseen ' * 20}") for k in range(9)]  # copies of one text
+    got, want = disclosed(spark, rows)
+    assert got == want and {"kim", "x7", "王明", "jo"} <= got[0] and not {"of", "in", "filler", "shop"} & got[0]
+    assert got[300] == set()
