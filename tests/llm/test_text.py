@@ -7,6 +7,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import zstandard
@@ -360,3 +361,17 @@ def test_terms_far_off_and_short(spark):
     got, want = disclosed(spark, rows)
     assert got == want and {"kim", "x7", "王明", "jo"} <= got[0] and not {"of", "in", "filler", "shop"} & got[0]
     assert got[300] == set()
+
+
+def test_items_of_all_lengths_are_found():
+    rng = np.random.default_rng(8)
+    space = decontaminate.Space(np.ones(1 << decontaminate.BITS, np.float32), rng.normal(size=(1 << decontaminate.BITS, 100)).astype(np.float32))
+    vocab = [f"v{k}" for k in range(3000)]
+    text = lambda n: " ".join(str(x) for x in rng.choice(vocab, n))
+    exact = {n: f"own{n} {text(n - 1)}" if n > 1 else "own1" for n in (1, 2, 3, 4, 8, 16, 100, 200, 1000, 3000)}
+    changed = {n: " ".join(w if k % 8 else "other" for k, w in enumerate(t.split())) for n, t in exact.items() if n >= 100}
+    s = decontaminate.Searcher(space, [decontaminate.item(n, t) for n, t in exact.items()])
+    for n, t in [*exact.items(), *changed.items()]:
+        w = next(decontaminate.runs([pa.record_batch({"text": [f"{text(700)} {t} {text(500)}", text(900)]})], most=1 << 30))[3]
+        got = s.run(w)
+        assert n in got[0] and got[0][n][1] >= (1.0 if t == exact[n] else 0.8) and n not in got[1]
