@@ -375,3 +375,13 @@ def test_items_of_all_lengths_are_found():
         w = next(decontaminate.runs([pa.record_batch({"text": [f"{text(700)} {t} {text(500)}", text(900)]})], most=1 << 30))[3]
         got = s.run(w)
         assert n in got[0] and got[0][n][1] >= (1.0 if t == exact[n] else 0.8) and n not in got[1]
+
+
+def test_copies_without_the_last_sentence():
+    rng = np.random.default_rng(9)
+    space = decontaminate.Space(np.ones(1 << decontaminate.BITS, np.float32), rng.normal(size=(1 << decontaminate.BITS, 100)).astype(np.float32))
+    body, last = " ".join(f"b{k}" for k in range(30)), " ".join(f"l{k}" for k in range(8))
+    s = decontaminate.Searcher(space, [decontaminate.item(1, f"{body}. {last}."), decontaminate.item(2, f"{body} Answer: {last}")])
+    w = next(decontaminate.runs([pa.record_batch({"text": [f"before it {body} after it", f"{body} answer {last}"]})]))[3]
+    got = s.run(w)
+    assert set(got[0]) == {1} and got[0][1][2] < decontaminate.ANSWER and set(got[1]) == {1, 2}
