@@ -385,3 +385,10 @@ def test_copies_without_the_last_sentence():
     w = next(decontaminate.runs([pa.record_batch({"text": [f"before it {body} after it", f"{body} answer {last}"]})]))[3]
     got = s.run(w)
     assert set(got[0]) == {1} and got[0][1][2] < decontaminate.ANSWER and set(got[1]) == {1, 2}
+
+
+def test_sample_of_distinct_texts(spark):
+    rows = [(k, f"text number {k}") for k in range(2000)] + [(5000 + k, f"text shared {k % 3}") for k in range(3000)]
+    got = [r["text"] for r in decontaminate.sampled(docs_of(spark, rows), 500).collect()]
+    assert len(got) == len(set(got)) and 350 < len(got) < 650
+    assert decontaminate.sampled(docs_of(spark, rows), 10_000).count() == 2003
