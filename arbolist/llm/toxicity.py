@@ -6,7 +6,9 @@ one document count once), is far likelier in toxic than in other documents. The
 from the words at and beside the token and from the transition; words that the fitted segments lack weigh nothing. Forward-backward gives the marginals; runs of tokens of
 at least SPAN are the offending spans (code points), and a logistic map of the marginals' sum and maximum is the score.
 
-The model is fitted on the driver from a bounded sample of labelled training documents (SAMPLE). All texts are scored
+The model is fitted on the driver from a bounded sample of labelled training documents (SAMPLE). Of its pieces of
+SEGMENT tokens the chain is fitted on at most `segments` (3,000) with a toxic token and as many others, chosen at random; words
+that stand in dropped pieces alone weigh nothing. All texts are scored
 whole in one Arrow map without a shuffle: a slice of many documents is one chain, cut by transitions that forget the state
 at document borders, and is run in blocks, so that the work in numpy grows with the number of tokens.
 
