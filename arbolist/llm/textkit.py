@@ -14,7 +14,6 @@ SLICE = 1 << 21
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_PLACE = _rng.integers(1, 2**63, 4096, dtype=np.uint64) * U(2) + U(1)
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 
 #: White space of the word definition: space and U+0009 to U+000D.
@@ -34,6 +33,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
+_place = np.zeros(0, np.uint64)
+
+
+def place_table(n: int) -> np.ndarray:
+    """An odd multiplier for each of at least n places in a word, each drawn by itself, so that words of any length hash apart."""
+    global _place
+    if len(_place) >= n:
+        return _place
+    out = mix((np.arange(max(n, 4096), dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)) | U(1)
+    if n <= 1 << 20:
+        _place = out
+    return out
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its texts; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -71,7 +84,30 @@ class Words:
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold_case: bool = True) -> Words:
-    """The maximal runs of bytes for which `inside` is true, within each text. Offsets start at 0."""
+    """The maximal runs of bytes for which `inside` is true, within each text. Offsets start at 0.
+
+    A long run of texts is taken in pieces that end between words, so that what is held beside the words is bounded.
+    """
+    n = len(raw)
+    if n <= 2 * SLICE:
+        return _words(raw, offsets, inside, fold_case)
+    parts, a = [], 0
+    while a < n:
+        b = a + SLICE
+        while b < n and inside[raw[b - 1]] and inside[raw[b]] and len(stop := np.flatnonzero(~inside[raw[b : b + SLICE]])) == 0:
+            b += SLICE
+        if b < n and inside[raw[b - 1]] and inside[raw[b]]:
+            b += int(stop[0])
+        b = min(b, n)
+        cut = offsets[(offsets > a) & (offsets < b)] - a
+        w = _words(raw[a:b], np.concatenate([[0], cut, [b - a]]), inside, fold_case)
+        parts.append((w.start + a, w.end + a, w.hash))
+        a = b
+    start, end, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Words(start, end, h, np.searchsorted(start, offsets))
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold_case: bool) -> Words:
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
@@ -95,7 +131,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold_case: b
     place[: start[0]] = 0
     place[start[0] :] -= np.repeat(start.astype(np.int32), np.diff(np.append(start, n)))
     vals = table[raw]
-    vals *= _PLACE[place & 4095]
+    vals *= place_table(int((end - start).max()))[np.minimum(place, (end - start).max() - 1)]
     h = mix(np.add.reduceat(vals, start) + U(0x9E3779B97F4A7C15) * (end - start).astype(np.uint64))
     return Words(start, end, h, np.searchsorted(start, offsets))
 

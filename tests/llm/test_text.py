@@ -276,19 +276,36 @@ def test_space_against_the_exact_decomposition():
     assert np.allclose(y.T @ y, np.eye(20), atol=1e-2)  # the singular directions, each of variance one
 
 
-def test_window_blocks_against_sums():
+def test_window_blocks_against_sums(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
     rng = np.random.default_rng(3)
     space = decontaminate.Space(np.ones(1 << decontaminate.BITS, np.float32), rng.normal(size=(1 << decontaminate.BITS, 5)).astype(np.float32))
     s = decontaminate.Searcher(space, [decontaminate.item(1, " ".join(f"w{k}" for k in range(30)))])
-    bounds = np.array([0, 0, 7, 8, 90])
-    w = textkit.Words(np.zeros(90), np.zeros(90), textkit.mix(np.arange(90, dtype=np.uint64)), bounds)
-    sums, first = s.blocks(w, 8, 16)
-    vec = space.table[decontaminate.slot(w.hash)]
-    for d in range(4):
-        for k in range(int(first[d + 1] - first[d])):
-            part = vec[bounds[d] : bounds[d + 1]][8 * k : 8 * k + 8]
-            assert np.allclose(sums[first[d] + k], part.sum(0), atol=1e-4)
-    assert all(first[d + 1] - first[d] >= 3 for d in range(4) if bounds[d + 1] > bounds[d])
+    bounds = np.array([0, 0, 7, 8, 390])
+    h = textkit.mix(np.arange(390, dtype=np.uint64))
+    h[20:24] = h[20]  # a word that repeats the one before has no vector
+    w = textkit.Words(np.zeros(390), np.zeros(390), h, bounds)
+    vec = space.table[decontaminate.slot(h)]
+    vec[21:24] = 0
+    seen = []
+    for docs, begin, n in decontaminate.pieces_of(bounds):
+        sums, first = s.blocks(w, begin, n, 8, 16)
+        for k, (d, a, m) in enumerate(zip(docs, begin, n, strict=True)):
+            own = vec[a : a + m].copy()
+            own[0] = space.table[decontaminate.slot(h[a : a + 1])[0]]
+            for j in range(int(first[k + 1] - first[k])):
+                assert np.allclose(sums[first[k] + j], own[8 * j : 8 * j + 8].sum(0), atol=1e-4)
+            assert first[k + 1] - first[k] >= 3 + -(-m // 8)
+            seen.append((int(d), int(a), int(m)))
+    assert [x for x in seen if x[0] < 3] == [(1, 0, 7), (2, 7, 1)]
+    assert [x for x in seen if x[0] == 3] == [(3, 8 + a, min(64 + 128, 382 - a)) for a in range(0, 382, 64)]
+
+
+def test_words_are_folded_alike():
+    pairs = [("ÉTÉ Straße ＡＢＣ ΟΔΟΣ", "été STRASSE abc οδος"), ("ﬁne Å", "fine å"), ("e\u0301te", "éte")]
+    for a, b in pairs:
+        assert (decontaminate.hashes(a) == decontaminate.hashes(b)).all()
+    assert decontaminate.folded(pa.array([b"\xff\xe9 x", None]).view(pa.string())).to_pylist() == ["\ufffd\ufffd x", None]
 
 
 def test_benchmark_passages_are_found(spark):
