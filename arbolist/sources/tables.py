@@ -1,7 +1,7 @@
 """Sources and sinks: tables of expression text, parsed once and stored as Parquet.
 
-store() keeps, beside the node array, the root's key and type as columns of their own: equality, grouping and type tests
-read only these, and containment prefilters on `sx_key` reach the Parquet scan.
+A parsed column is a struct of key, text and nodes, of which Parquet reads what a query needs: equality and grouping read
+`sx.key` alone, and containment's prefilters on it reach the scan.
 """
 
 from __future__ import annotations
@@ -20,22 +20,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def parsed(df: DataFrame, text: Column | str = "sx", keep_text: bool = False) -> DataFrame:
-    """df with sx_key, sx_type and nodes for its expression text."""
-    out = df.withColumn("nodes", C.parse_sexp(text))
-    out = out.withColumns({"sx_key": C.sexp_key("nodes"), "sx_type": C.sexp_typeof("nodes")})
-    return out if keep_text or not isinstance(text, str) else out.drop(text)
+    """df with its expression text parsed as column `sx`; keep_text: and the text as `sx_text`."""
+    if keep_text:
+        df = df.withColumn("sx_text", F.col(text) if isinstance(text, str) else text)
+    out = df.withColumn("sx", C.parse_sexp(text))
+    return out if not isinstance(text, str) or text == "sx" else out.drop(text)
 
 
 def store(df: DataFrame, path: str, text: str = "sx", mode: str = "overwrite") -> DataFrame:
     """Parse, write as Parquet, and read again."""
-    parsed(df, text).write.mode(mode).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = parsed(df, text)
+    out.write.mode(mode).parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def storage(spark: SparkSession, path: str) -> DataFrame:
+    """files and bytes below a path: one row. Only names and lengths are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="arbolist-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
@@ -46,7 +56,7 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def write_text(df: DataFrame, path: str, nodes: str = "nodes", mode: str = "overwrite") -> None:
+def write_text(df: DataFrame, path: str, nodes: str = "sx", mode: str = "overwrite") -> None:
     """Write display texts, a value a line (strings escape their line ends)."""
     df.select(C.sexp_text(nodes).alias("value")).write.mode(mode).text(path)
 
@@ -90,12 +100,20 @@ def documents_text() -> Column:
     return F.concat(F.lit("(doc "), F.col("doc_id").cast("string"), F.lit(" (lang "), F.col("lang"), F.lit(") (source "), F.col("source"), F.lit(") (text "), quoted(F.col("text")), F.lit("))"))
 
 
-_stored: dict[tuple[int, str, str], DataFrame] = {}
+_stored: dict[tuple, DataFrame] = {}
+
+
+def version(spark: SparkSession, path: str) -> tuple:
+    """What changes when a table is written anew: its files' names, lengths and times."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(place)))
 
 
 def ingested(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's rows with their expressions, parsed and stored once for a session, as the queries' input."""
-    key = (id(spark.sparkContext), sf_dir, name)
+    sources = [name, "region"] if name == "nation" else [name]
+    key = (spark.sparkContext.applicationId, sf_dir, name, *(version(spark, f"{sf_dir}/{s}.parquet") for s in sources))
     if key not in _stored:
         if name == "nation":
             src = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -104,7 +122,7 @@ def ingested(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         text = {"events": events_text, "orders": orders_text, "nation": nations_text, "lineitem": lineitem_text, "documents": documents_text}[name]()
         src = src.withColumn("sx", text)
         cores = spark.sparkContext.defaultParallelism
-        if len(src.inputFiles()) < cores:  # few files make few tasks, and parsing is the costly part
-            src = src.repartition(cores)
+        if len(src.inputFiles()) < cores:  # few files make few tasks; ranges of the first column keep its statistics narrow
+            src = src.repartitionByRange(cores, src.columns[0]).sortWithinPartitions(src.columns[0])
         _stored[key] = store(src, f"{scratch(spark)}/{name}")
     return _stored[key]

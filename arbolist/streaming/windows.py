@@ -17,14 +17,15 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files_pe
 
 def windowed_counts(stream: DataFrame, ts: str, text: str, path: tuple[int, ...], window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Rows for each window and value at a path; late rows are dropped after `late`."""
-    value = C.at_path("nodes", path)
-    rows = parsed(stream, text).select(F.col(ts), value["k"].alias("key"), value["txt"].alias("value"))
+    value = C.at_path("sx", path)
+    rows = parsed(stream, text).select(F.col(ts), C.sexp_key(value).alias("key"), C.sexp_text(value).alias("value"))
     return rows.withWatermark(ts, late).groupBy(F.window(ts, window), "key", "value").agg(F.count("*").alias("n"))
 
 
 def distinct_within(stream: DataFrame, ts: str, text: str, late: str = "1 hour") -> DataFrame:
     """Rows without repeats of an equal value within the watermark."""
-    return parsed(stream, text).withWatermark(ts, late).dropDuplicatesWithinWatermark(["sx_key"])
+    keyed = parsed(stream, text).withColumn("sx_key", C.sexp_key("sx"))
+    return keyed.withWatermark(ts, late).dropDuplicatesWithinWatermark(["sx_key"]).drop("sx_key")
 
 
 def run_to_end(out: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
