@@ -25,13 +25,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; deleted when the session's JVM ends.
 
-    Where the setting is absent (tests), a temporary folder becomes it.
+    Where the setting is absent on a local master (tests), a temporary folder becomes it; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="arbolist-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/arbolist-{uuid.uuid4().hex}"
@@ -72,20 +83,37 @@ def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, bound: int) -> DataFrame:
-    """(doc_id, y, weight-free) rows of at most about `bound` labelled training documents, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, bound: int, most: int = 32 << 20) -> DataFrame:
+    """(id, y) of at most `bound` labelled training documents of together at most `most` bytes, chosen by a hash of the id.
 
-    Labels that are null are left out; if an id has several, it is 1 when at least half are. Ids only: a bounded table
-    that may be broadcast. `bound` is a parameter of the caller and limits nothing but the rows a classifier is fitted on.
+    Labels that are null are left out; if an id has several, it is 1 when at least half are. Both bounds are parameters of the
+    caller and limit nothing but the rows that a classifier is fitted on; both labels get half of each. A text that alone
+    is beyond its share is left out. The result is a local table of at most `bound` rows, which may be broadcast.
     """
-    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+    spark = docs.sparkSession
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy(F.col("doc_id").alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    each = bound // 2
-    keep = F.lit(False)
+    place, keep = F.pmod(F.xxhash64("id"), F.lit(1_000_000)), F.lit(False)
     for y, n in counts.items():
-        share = min(1.0, each / n)
-        keep = keep | ((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    return rows.where(keep)
+        keep = keep | ((F.col("y") == y) & (place < int(min(1.0, bound / 2 / n) * 1_000_000)))
+    ids = spark.createDataFrame(rows.where(keep).orderBy(place, "id").limit(2 * bound).collect(), rows.schema)  # about `bound` rows
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
+    sizes = docs.select("doc_id", size.alias("size")).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.first("y").alias("y"), F.min("size").alias("size"))
+    left = {y: [bound // 2, most // 2] for y in counts}
+    out = []
+    for r in sorted(sizes.select("id", "y", "size", place.alias("place")).collect(), key=lambda r: (r["place"], str(r["id"]))):
+        room = left[r["y"]]
+        if room[0] >= 1 and r["size"] <= room[1]:
+            room[0], room[1] = room[0] - 1, room[1] - r["size"]
+            out.append((r["id"], r["y"]))
+    return spark.createDataFrame(out, rows.schema)
+
+
+def sampled_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """y and text of the documents that labelled_sample() chose: of rows that repeat an id, one with the shortest text (equal ones: the first in order)."""
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    return rows.groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.col("text").alias("text")))["text"].alias("text")).select("y", "text")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 50) -> np.ndarray:

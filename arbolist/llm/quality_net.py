@@ -4,7 +4,7 @@ Tokens are runs of letters and digits, and runs of other characters than white s
 it is one special word. Each word has a sparse random index vector (drawn from its hash). The context vector of a word slot
 is the sum of the index vectors of the words beside it over the whole corpus: one pass, which sends a table of fixed size
 from each task. A document is the mean and the spread of its words' context vectors, and its length by the logarithm.
-The network (one hidden layer) is fitted on a bounded sample of labelled training documents (SAMPLE); its logits are divided by
+The network (one hidden layer) is fitted on a bounded sample of labelled training documents (SAMPLE, SAMPLE_BYTES); its logits are divided by
 a temperature fitted on a part of the sample kept back.
 
 Defined results: null and empty texts, and texts without a token, are pooled to zero vectors and scored as such; without
@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, emit_array, labelled_sample, sigmoid, small_batches, summed_array
+from .common import by_batch, emit_array, labelled_sample, sampled_rows, sigmoid, small_batches, summed_array
 from .textkit import ALNUM, SPACE, U, Words, mix, slices, text_bytes, words
 
-#: The most labelled documents that the network is fitted on.
-SAMPLE = 6000
+#: The most labelled documents that the network is fitted on, and the most bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 6000, 64 << 20
+#: Words that are pooled at once.
+PIECE = 1 << 17
 #: Word slots, dimensions and nonzeros of an index vector.
 SLOTS, DIMS, ONES = 1 << 14, 32, 4
 REPEAT = U(0x2545F4914F6CDD1D)
@@ -63,7 +65,7 @@ def add_contexts(total: np.ndarray, w: Words) -> None:
 
 
 def context_table(docs: DataFrame) -> np.ndarray:
-    """Unit context vectors of the word slots, over all documents, less the corpus' mean direction."""
+    """Unit context vectors of the word slots, over all documents; zero for slots without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS * DIMS, np.int64)
@@ -84,13 +86,16 @@ def pooled(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarra
     w = tokens(raw, offsets)
     n = np.diff(w.bounds)
     out = np.zeros((len(n), 2 * DIMS + 1))
+    doc = w.doc()
+    for a in range(0, len(doc), PIECE):  # sums, some words at a time
+        v, own = table[slot(w.hash[a : a + PIECE])], doc[a : a + PIECE]
+        begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[own[begin], :DIMS] += np.add.reduceat(v, begin, axis=0)
+        out[own[begin], DIMS : 2 * DIMS] += np.add.reduceat(v * v, begin, axis=0)
     some = n > 0
-    if some.any():
-        v = table[slot(w.hash)]
-        begin, size = w.bounds[:-1][some], n[some][:, None]
-        mean = np.add.reduceat(v, begin, axis=0) / size
-        out[some, :DIMS] = mean
-        out[some, DIMS : 2 * DIMS] = np.sqrt(np.maximum(np.add.reduceat(v * v, begin, axis=0) / size - mean * mean, 0))
+    mean = out[some, :DIMS] / n[some][:, None]
+    out[some, :DIMS] = mean
+    out[some, DIMS : 2 * DIMS] = np.sqrt(np.maximum(out[some, DIMS : 2 * DIMS] / n[some][:, None] - mean * mean, 0))
     out[:, -1] = np.log1p(n)
     return out
 
@@ -151,21 +156,22 @@ def fit(x: np.ndarray, y: np.ndarray, share: float | None = None, hidden: int =
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, table: np.ndarray, sample: int = SAMPLE) -> Net:
-    """Fit on at most about `sample` labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, table: np.ndarray, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Net:
+    """Fit on at most `sample` labelled documents of at most `most` bytes that are not held out."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(table)  # SLOTS x DIMS
     share = labels.where(F.col("quality").isNotNull() & ~held_out).agg(F.avg("quality")).first()[0]
-    ids = labelled_sample(docs, labels, "quality", held_out, sample)
+    ids = labelled_sample(docs, labels, "quality", held_out, sample, most)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         x = batch_features(b["text"], shared.value)
-        return pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), b["y"], pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
+        return pa.RecordBatch.from_arrays([b["y"], pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
 
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most about `sample` ids
-    rows = sorted(own.mapInArrow(by_batch(run), "doc_id long, y int, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
-    return fit(np.array([np.frombuffer(r["x"]) for r in rows]).reshape(-1, 2 * DIMS + 1), np.array([r["y"] for r in rows]), float(share) if share is not None else None)
+    rows = sorted((bytes(r["x"]), r["y"]) for r in sampled_rows(docs, ids).mapInArrow(by_batch(run), "y int, x binary").collect())
+    order = np.random.default_rng(11).permutation(len(rows))
+    rows = [rows[k] for k in order]
+    return fit(np.array([np.frombuffer(x) for x, _ in rows]).reshape(-1, 2 * DIMS + 1), np.array([y for _, y in rows]), float(share) if share is not None else None)
 
 
 def classify(docs: DataFrame, net: Net, table: np.ndarray, held_out: Column, threshold: float = 0.5) -> DataFrame:

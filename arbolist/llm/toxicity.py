@@ -6,7 +6,7 @@ one document count once), is far likelier in toxic than in other documents. The
 from the words at and beside the token and from the transition; words that the fitted segments lack weigh nothing. Forward-backward gives the marginals; runs of tokens of
 at least SPAN are the offending spans (code points), and a logistic map of the marginals' sum and maximum is the score.
 
-The model is fitted on the driver from a bounded sample of labelled training documents (SAMPLE). Of its pieces of
+The model is fitted on the driver from a bounded sample of labelled training documents (SAMPLE, SAMPLE_BYTES). Of its pieces of
 SEGMENT tokens the chain is fitted on at most `segments` (3,000) with a toxic token and as many others, chosen at random; words
 that stand in dropped pieces alone weigh nothing. All texts are scored
 whole in one Arrow map without a shuffle: a slice of many documents is one chain, cut by transitions that forget the state
@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, labelled_sample, logistic, sigmoid, small_batches
+from .common import by_batch, labelled_sample, logistic, sampled_rows, sigmoid, small_batches
 from .textkit import ALNUM, U, mix, slices, text_bytes, words
 
-#: The most labelled documents that the model is fitted on.
-SAMPLE = 8000
+#: The most labelled documents that the model is fitted on, and the most bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 8000, 32 << 20
 BITS, SEGMENT, SPAN = 18, 32, 0.5
 PLACES = 3
 
@@ -63,15 +63,10 @@ class Chain:
         at[self.keys[at] != h] = 1 << BITS
         return self.bias + sum(w[x] for w, x in zip(self.weights, beside(at, doc, 1 << BITS), strict=True))
 
-    def marginals(self, e: np.ndarray, first: np.ndarray, block: int = 256) -> np.ndarray:
-        """Probability of state 1 of each token of a run of documents; first: whether a token begins its document."""
-        n = len(e)
-        if not n:
-            return np.zeros(0)
-        cols = -(-n // block)
+    def factors(self, e: np.ndarray, first: np.ndarray, cols: int, block: int) -> np.ndarray:
+        """The transitions into each token with its emission, as (step, from, to, column) of `cols` blocks; places beyond the tokens change nothing."""
+        n, x, t = len(e), np.exp(np.clip(e, -30, 30)), np.exp(self.trans)
         m = np.empty((cols * block, 2, 2))
-        x = np.exp(np.clip(e, -30, 30))
-        t = np.exp(self.trans)
         m[:n, :, 0] = t[:, 0]
         m[:n, :, 1] = t[:, 1] * x[:, None]
         at = np.flatnonzero(first)
@@ -79,41 +74,61 @@ class Chain:
         m[at, :, 1] = (np.exp(self.begin) * x[at])[:, None]
         m[n:] = np.eye(2)
         m /= m.sum((1, 2), keepdims=True)
-        m = np.ascontiguousarray(m.reshape(cols, block, 2, 2).transpose(1, 2, 3, 0))  # step, from, to, column
-        prod = m[0].copy()
-        for k in range(1, block):
-            a, b, c, d = prod[0, 0], prod[0, 1], prod[1, 0], prod[1, 1]
-            p, q, r, s = m[k, 0, 0], m[k, 0, 1], m[k, 1, 0], m[k, 1, 1]
-            prod = np.array([[a * p + b * r, a * q + b * s], [c * p + d * r, c * q + d * s]])
-            prod /= prod.sum((0, 1))
-        into, back = np.empty((cols, 2)), np.empty((cols, 2))
-        v, own = (1.0, 0.0), prod.transpose(2, 0, 1).tolist()
-        for c in range(cols):  # a step a block
+        return np.ascontiguousarray(m.reshape(cols, block, 2, 2).transpose(1, 2, 3, 0))
+
+    def marginals(self, e: np.ndarray, first: np.ndarray, block: int = 256, piece: int = 1 << 19) -> np.ndarray:
+        """Probability of state 1 of each token of a run of documents; first: whether a token begins its document.
+
+        Runs of more than `piece` tokens are taken in pieces, twice: for the products of their factors, and for the marginals.
+        """
+        if not len(e):
+            return np.zeros(0)
+        parts = []
+        for a in range(0, len(e), piece):
+            cols = -(-min(piece, len(e) - a) // block)
+            m = self.factors(e[a : a + piece], first[a : a + piece], cols, block)
+            prod = m[0].copy()
+            for k in range(1, block):
+                (a0, a1), (b0, b1) = prod
+                (p, q), (r, s) = m[k]
+                prod = np.array([[a0 * p + a1 * r, a0 * q + a1 * s], [b0 * p + b1 * r, b0 * q + b1 * s]])
+                prod /= prod.sum((0, 1))
+            parts.append((a, cols, prod, m if len(e) <= piece else None))
+        own = np.concatenate([p[2] for p in parts], 2).transpose(2, 0, 1).tolist()
+        into, back = np.empty((len(own), 2)), np.empty((len(own), 2))
+        v = (1.0, 0.0)
+        for c in range(len(own)):  # a step a block
             into[c] = v
             (a, b), (p, q) = own[c]
             v = (v[0] * a + v[1] * p, v[0] * b + v[1] * q)
             z = v[0] + v[1]
             v = (v[0] / z, v[1] / z)
         v = (1.0, 1.0)
-        for c in range(cols - 1, -1, -1):
+        for c in range(len(own) - 1, -1, -1):
             back[c] = v
             (a, b), (p, q) = own[c]
             v = (a * v[0] + b * v[1], p * v[0] + q * v[1])
             z = v[0] + v[1]
             v = (v[0] / z, v[1] / z)
-        alpha = np.empty((block, 2, cols))
-        f = into.T
-        for k in range(block):
-            f = np.array([f[0] * m[k, 0, 0] + f[1] * m[k, 1, 0], f[0] * m[k, 0, 1] + f[1] * m[k, 1, 1]])
-            f /= f.sum(0)
-            alpha[k] = f
-        g = back.T
-        for k in range(block - 1, -1, -1):
-            h = alpha[k] * g
-            alpha[k, 1] = h[1] / h.sum(0)
-            g = np.array([m[k, 0, 0] * g[0] + m[k, 0, 1] * g[1], m[k, 1, 0] * g[0] + m[k, 1, 1] * g[1]])
-            g /= g.sum(0)
-        return alpha[:, 1].T.reshape(-1)[:n]
+        out, done = [], 0
+        for a, cols, _, m in parts:
+            n = min(piece, len(e) - a)
+            m = self.factors(e[a : a + piece], first[a : a + piece], cols, block) if m is None else m
+            alpha = np.empty((block, 2, cols))
+            f = into[done : done + cols].T
+            for k in range(block):
+                f = np.array([f[0] * m[k, 0, 0] + f[1] * m[k, 1, 0], f[0] * m[k, 0, 1] + f[1] * m[k, 1, 1]])
+                f /= f.sum(0)
+                alpha[k] = f
+            g = back[done : done + cols].T
+            for k in range(block - 1, -1, -1):
+                h = alpha[k] * g
+                alpha[k, 1] = h[1] / h.sum(0)
+                g = np.array([m[k, 0, 0] * g[0] + m[k, 0, 1] * g[1], m[k, 1, 0] * g[0] + m[k, 1, 1] * g[1]])
+                g /= g.sum(0)
+            out.append(alpha[:, 1].T.reshape(-1)[:n])
+            done += cols
+        return np.concatenate(out)
 
     def score(self, marg: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """A document's score from the marginals of its tokens."""
@@ -232,21 +247,20 @@ def fit(docs: list[np.ndarray], y: np.ndarray, share: float | None = None, round
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE) -> Chain:
-    """Fit on at most about `sample` labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Chain:
+    """Fit on at most `sample` labelled documents of at most `most` bytes that are not held out."""
     spark = docs.sparkSession
     small_batches(spark)
     share = labels.where(F.col("toxic").isNotNull() & ~held_out).agg(F.avg("toxic")).first()[0]
-    ids = labelled_sample(docs, labels, "toxic", held_out, sample)
+    ids = labelled_sample(docs, labels, "toxic", held_out, sample, most)
 
     def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
         w = words(*text_bytes(b["text"]), ALNUM)
         rows = [w.hash[i:j].tobytes() for i, j in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), b["y"], pa.array(rows, pa.binary())], names=["doc_id", "y", "w"])
+        return pa.RecordBatch.from_arrays([b["y"], pa.array(rows, pa.binary())], names=["y", "w"])
 
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most about `sample` ids
-    rows = sorted(own.mapInArrow(by_batch(hashed), "doc_id long, y int, w binary").collect(), key=lambda r: (r["doc_id"], bytes(r["w"])))
-    return fit([np.frombuffer(r["w"], np.uint64) for r in rows], np.array([r["y"] for r in rows]), float(share) if share is not None else None)
+    rows = sorted((bytes(r["w"]), r["y"]) for r in sampled_rows(docs, ids).mapInArrow(by_batch(hashed), "y int, w binary").collect())
+    return fit([np.frombuffer(w, np.uint64) for w, _ in rows], np.array([y for _, y in rows]), float(share) if share is not None else None)
 
 
 def spans_of(marg: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.ndarray, points: np.ndarray, begins: np.ndarray) -> Iterator[list[dict]]:
