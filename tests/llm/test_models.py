@@ -1,6 +1,8 @@
 """Classifiers, URL filter, language identification: definitions, edge cases and held-out accuracy."""
 
+import collections
 import math
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbolist.llm import entries, lang_id, quality_net, textkit, toxicity, url_filter
-from arbolist.llm.common import fold, labelled_sample
+from arbolist.llm.common import fold, labelled_sample, sampled_rows
 
 DATA = "/root/testdata/sf0.01"
 EDGES = [(1, None), (2, ""), (3, " \n"), (4, "x"), (5, "You idiot " * 20000), (5, "You idiot " * 20000), (None, "text é"), (7, "!!! ??? 123")]
@@ -20,8 +22,6 @@ def docs_of(spark, rows=EDGES):
 
 
 def test_words_and_shingles_against_regex():
-    import re
-
     texts = ["", "A b  a\tB\x0b c\nD", "é É x", " lead", "trail ", "one two three four five six one two three four five", "a\u00a0b", "w" * 9000 + " " + "w" * 9000]
     raw, off = textkit.text_bytes(pa.array(texts))
     w = textkit.words(raw, off, ~textkit.SPACE)
@@ -59,8 +59,8 @@ def test_marginals_against_forward_backward():
         return p[:, 1] / p.sum(1)
 
     want = np.concatenate([plain(x) for x in np.split(e, [13, 14, 400])])
-    for block in (8, 256, 1024):
-        assert np.abs(chain.marginals(e, first, block) - want).max() < 1e-9
+    for block, piece in ((8, 64), (8, 1 << 19), (256, 1 << 19), (1024, 1 << 19), (16, 256)):
+        assert np.abs(chain.marginals(e, first, block, piece) - want).max() < 1e-9
 
 
 def truth(spark, label, parts, held):
@@ -152,14 +152,53 @@ def test_language_on_held_out(spark):
 
 
 def test_language_edges(spark):
-    model = lang_id.fit([("en", "the house and the tree"), ("de", "das haus und der baum"), ("fr", "la maison et les arbres")] * 3)
+    few = [("en", "the house and the tree"), ("de", "das haus und der baum"), ("fr", "la maison et les arbres"), ("en", ""), ("fr", "12")] * 3
+    model = lang_id.fit([(lang, lang_id.counts([t])[0] * bool(re.search("[a-z]", t))) for lang, t in few])
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in lang_id.identify(docs_of(spark, [*EDGES, (8, "THE HOUSE 123 !!!")]), model, F.lit(False)).collect()]
     assert [g[1] for g in got if g[0] in (1, 2, 3, 7)] == ["und"] * 4 and got[-1][1] == "en" and len(got) == len(EDGES) + 1
     assert {g[1] for g in got} <= {"und", "en", "de", "fr"}
     empty = lang_id.train(docs_of(spark).limit(0), F.lit(False))
     assert {r["lang_pred"] for r in lang_id.identify(docs_of(spark), empty, F.lit(False)).collect()} == {"und"}
     long = "ab c" * lang_id.PIECE
-    assert lang_id.counts(long[: 2 * lang_id.PIECE + 5]).sum() == 3 * (2 * lang_id.PIECE + 5) - 3
+    assert lang_id.counts(["ab", long[: 2 * lang_id.PIECE + 5], "c"]).sum(1).tolist() == [3, 3 * (2 * lang_id.PIECE + 5) - 3, 1]
+    tie = lang_id.LangModel(np.ones(lang_id.DIMS), np.ones((2, lang_id.DIMS)) / lang_id.DIMS**0.5, ["aa", "bb"], np.zeros(2))
+    assert {r["lang_pred"] for r in lang_id.identify(docs_of(spark, [(1, "x"), (1, "x"), (2, "yz")]), tie, F.lit(False)).collect()} == {"aa"}
+    assert lang_id.identify(docs_of(spark).limit(0), model, F.lit(False)).count() == 0
+
+
+def test_language_against_brute_force(spark):
+    """Counts, idf over all training rows and nearest centroids, against loops over characters."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(120).select("doc_id", "text", "lang")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    held = fold("doc_id", 4) == 2
+    model = lang_id.train(docs, held)
+
+    def grams(t):
+        c = [ord(x) for x in re.sub(r"[\W\d_]+", " ", t.lower())]
+        out, m = collections.Counter(), 0xFFFFFFFF
+        for i in range(len(c)):
+            h = c[i] * 0x9E3779B1 & m
+            out[h >> 19] += 1
+            for k in (1, 2):
+                if i + k < len(c):
+                    h = (h ^ c[i + k]) * 0x85EBCA77 & m
+                    out[h >> 19] += 1
+        return out
+
+    train = [t for i, t, lang in rows if lang and t and zlib.crc32(str(i).encode()) % 4 != 2 and re.search(r"[^\W\d_]", t)]
+    df = collections.Counter(s for t in train for s in grams(t))
+    idf = [math.log((1 + len(train)) / (1 + df[s])) + 1 for s in range(lang_id.DIMS)]
+    assert np.allclose(model.idf, idf)
+    got = {r["doc_id"]: r for r in lang_id.identify(docs, model, held).collect()}
+    for i, t, _ in rows:
+        if not t or not re.search(r"[^\W\d_]", t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        v = np.zeros(lang_id.DIMS)
+        for s, n in grams(t).items():
+            v[s] = math.log1p(n) * idf[s]
+        cos = model.centroids @ v / np.linalg.norm(v)
+        assert got[i]["lang_pred"] == model.langs[int(np.argmax(cos))] and abs(got[i]["score"] - cos.max()) < 1e-4
 
 
 def parts_of(url):
@@ -190,10 +229,14 @@ def test_urls_against_a_loop(spark):
 
 
 def test_labelled_sample_is_bounded(spark):
-    docs = spark.range(2000).withColumnRenamed("id", "doc_id")
+    docs = spark.range(2000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x" * 10))
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     assert labelled_sample(docs, labels, "toxic", F.lit(False), 200).count() < 300
     assert labelled_sample(docs, labels, "toxic", fold("doc_id", 4) == 2, 10**6).count() == docs.where(fold("doc_id", 4) != 2).count()
+    assert 40 < labelled_sample(docs, labels, "toxic", F.lit(False), 2000, 1000).count() <= 100  # bytes
+    named = docs.withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    ids = labelled_sample(named, labels.withColumn("doc_id", F.concat(F.lit("id"), "doc_id")), "toxic", F.lit(False), 200)
+    assert 100 < sampled_rows(named.union(named), ids).count() == ids.count() <= 200
 
 
 @pytest.mark.parametrize("bad", [np.zeros(0), np.ones(5)])
