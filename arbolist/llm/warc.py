@@ -1,9 +1,9 @@
 """WARC archives with per-file Zstandard dictionaries.
 
 Each archive is a file: a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself a Zstandard frame, then one
-Zstandard frame for each WARC record, so that a record can be read at its offset. The dictionary is built from the first
-records of the same archive (at most TRAIN_BYTES of them); an archive with too little to build one from has none, and then
-begins with its first record.
+Zstandard frame for each WARC record, so that a record can be read at its offset. The dictionary is built from pieces of the
+same archive's records, spread evenly over all of it (of about TRAIN_BYTES together); an archive with too little to build
+one from has none, and then begins with its first record.
 
 A payload that was archived before is not stored again: of equal payloads of at least MIN_REVISIT bytes, the row with the
 smallest page_id is a `response`, and the others are `revisit` records that refer to it.
@@ -37,7 +37,7 @@ DICT_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
 MIN_REVISIT = 100
 #: An archive is closed at this many bytes of records before compression.
 ARCHIVE_BYTES = 24 << 20
-TRAIN_BYTES, DICT_BYTES = 1 << 20, 64 << 10
+TRAIN_BYTES, DICT_BYTES, PIECE = 1 << 20, 64 << 10, 4096
 #: Bytes that a reader hands to the decompressor at once.
 WINDOW = 1 << 14
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,8 +75,13 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A Zstandard dictionary from records; empty where there is too little to build one from."""
-    pieces = [r[i : i + 4096] for r in records for i in range(0, len(r), 4096)]
+    """A Zstandard dictionary from pieces of the records, every so many of them; empty where there is too little to build one from."""
+    every = max(1, sum(map(len, records)) // TRAIN_BYTES)
+    pieces, k = [], 0
+    for r in records:
+        at = range(-k % every * PIECE, len(r), every * PIECE)
+        pieces += [r[a : a + PIECE] for a in at]
+        k += -(-len(r) // PIECE)
     total = sum(map(len, pieces))
     if len(pieces) < 16 or total < 16 << 10:
         return b""
@@ -88,13 +93,7 @@ def build_dictionary(records: list[bytes]) -> bytes:
 
 def archive_bytes(records: list[bytes], level: int = 3) -> tuple[bytes, int]:
     """(file, dictionary's bytes): the dictionary in a leading skippable frame, then a frame for each record."""
-    sample, size = [], 0
-    for r in records:
-        if size >= TRAIN_BYTES:
-            break
-        sample.append(r[: TRAIN_BYTES - size])
-        size += len(sample[-1])
-    raw = build_dictionary(sample)
+    raw = build_dictionary(records)
     out = io.BytesIO()
     if raw:
         packed = zstd.ZstdCompressor(level=level).compress(raw)
@@ -134,17 +133,18 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html, payload_digest, payload_bytes, record_type, refers_to: what to write for each page."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    # Counted per digest before the shuffle, so that a payload of a third of all rows is a row for each task; digests of
-    # one page only need no join partner.
+    # Counted per digest before the shuffle, so that a payload of a third of all rows is a row for each task. What is dealt
+    # out by digest are ids, of which the join splits what is skewed; payloads are dealt out by page and digest.
+    light = rows.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= MIN_REVISIT)
     many = (
-        rows.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= MIN_REVISIT)
-        .groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
+        light.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
         .select(F.col("payload_digest").alias("d"), "first_id")
     )
-    again = F.col("first_id").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
-    return rows.join(many, rows["payload_digest"] == many["d"], "left").select(
+    told = light.join(many, light["payload_digest"] == many["d"]).where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(F.col("page_id").alias("p"), "d", "first_id").distinct()
+    again = F.col("first_id").isNotNull()
+    return rows.join(told, rows["page_id"].eqNullSafe(told["p"]) & (rows["payload_digest"] == told["d"]), "left").select(
         "page_id", "url", F.when(again, F.lit("")).otherwise(F.col("html")).alias("html"), "payload_digest", "payload_bytes",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"),
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"),
     )
 
 
