@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import col, shared_dir, written
 from .quality_rules import let
 
 #: Possessive quantifiers and the look-behinds keep the time in proportion to the text; they match what the plain forms
@@ -45,8 +45,8 @@ WORD = r"[\p{L}\p{N}]++"
 #: Words that can be terms: with a digit, of four letters or more, or of two or three with a capital or of a script without case.
 TERM = r"(?<![\p{L}\p{N}])(?:(?=\p{L}*+\p{N})[\p{L}\p{N}]{2,}+|\p{L}{4,}+|\p{Lu}\p{L}{1,2}+|\p{Lo}{2,3}+)(?![\p{L}\p{N}])"
 PRIOR, THRESHOLD = 1.0, 0.9
-#: Of an earlier estimate; the tests' brute force reads them, and nothing here is cut by them.
-CONTEXT, SUPPORT = 60, 3
+#: Words (of 8 bytes) that may be broadcast; more are joined by a shuffle.
+FEW = 1_000_000
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -71,27 +71,51 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def folded(items: Column, out: str, step: Callable[[Column, Column], Column]) -> Column:
+    """What step(at, item) puts out for each item, as an array; step gives a struct of the next `at` and of `out`, null to put out none.
+
+    Appending copies what is there, so items are taken in runs of about the root of their number, each with an array of its own.
+    """
+    inner, outer = f"struct<at:int,out:array<{out}>>", f"struct<at:int,out:array<array<{out}>>>"
+
+    def add(acc: Column, x: Column) -> Column:
+        return let(step(acc["at"], x), lambda s: F.struct(s["at"].alias("at"), F.when(s["out"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(s["out"]))).alias("out")).cast(inner))
+
+    def add_run(acc: Column, run: Column) -> Column:
+        part = F.aggregate(run, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{out}>").alias("out")).cast(inner), add)
+        return let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out")).cast(outer))
+
+    def runs(xs: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        return let(size, lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(xs) / n).cast("int") - 1)), lambda i: F.slice(xs, i * n + 1, n)))
+
+    return let(items, lambda xs: F.aggregate(runs(xs), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{out}>>").alias("out")).cast(outer), add_run, lambda a: F.flatten(a["out"])))
+
+
 def placed(text: Column, pattern: Column, kind: str, good: Callable[[Column], Column]) -> Column:
     """Spans of a pattern's matches: what lies between matches gives their places."""
-    none = F.array().cast(SPAN)
-    at = "struct<at:int,out:array<struct<kind:string,start:int,end:int,value:string>>>"
+    span = "struct<kind:string,start:int,end:int,value:string>"
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> Column:
+        begin = at + F.length(x["gap"])
         end = begin + F.length(x["hit"])
-        one = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["hit"].alias("value"))).cast(SPAN)
-        return F.struct(end.alias("at"), F.when(good(x["hit"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out")).cast(at)
+        one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["hit"].alias("value")).cast(span)
+        return F.struct(end.alias("at"), F.when(good(x["hit"]), one).alias("out"))
 
     pairs = lambda hits: F.zip_with(hits, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    found = let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hits: F.aggregate(pairs(hits), F.struct(F.lit(0).alias("at"), none.alias("out")).cast(at), add, lambda a: a["out"]))
-    return F.when(F.regexp_like(text, pattern), found).otherwise(none)
+    found = let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hits: folded(pairs(hits), span, step))
+    return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def with_entities(docs: DataFrame) -> DataFrame:
-    """docs with `_t` (the text) and `_e`, its entities' spans by kind and then by start."""
-    out = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    t = F.col("_t")
-    return out.withColumn("_e", F.concat(*(placed(t, F.lit(p), k, lambda v, k=k: valid(k, v)) for k, p in zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))))
+    """(row, none, t, e): the columns of docs but the text, whether the text is null, the text, and its entities' spans by kind and then by start.
+
+    The columns are in a struct, so that none of them clashes with a name used here.
+    """
+    own = [col(c) for c in docs.columns if c != "text"]
+    out = docs.select((F.struct(*own) if own else F.lit(None)).alias("row"), F.col("text").isNull().alias("none"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    t = F.col("t")
+    return out.withColumn("e", F.concat(*(placed(t, F.lit(p), k, lambda v, k=k: valid(k, v)) for k, p in zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))))
 
 
 def entity(span: Column) -> Column:
@@ -99,17 +123,31 @@ def entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], F.lower(F.regexp_replace(span["value"], r"[^A-Za-z0-9@.]", "")))
 
 
-def blanked(text: Column, spans: Column) -> Column:
-    """The text with spaces in place of the spans' characters."""
-    kind = "struct<at:int,out:string>"
+def replaced(text: Column, spans: Column, put: Callable[[Column], Column]) -> Column:
+    """The text with put(span) in place of each span; a span that begins within the one before gives way to it."""
+
+    def step(at: Column, s: Column) -> Column:
+        piece = F.concat(F.substring(text, at + 1, s["start"] - at), put(s))
+        return F.struct(F.greatest(at, s["end"]).alias("at"), F.when(s["start"] >= at, F.struct(piece.alias("s"), s["end"].alias("end"))).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.greatest(F.lit(0), s["start"] - acc["at"])
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, gap), F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["at"]))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), put.alias("out")).cast(kind)
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("to"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    pieces = folded(by_start, "struct<s:string,end:int>", step)
+    return let(pieces, lambda p: F.when(F.size(p) == 0, text).otherwise(F.concat(F.array_join(p["s"], ""), F.substring(text, F.get(p, F.size(p) - 1)["end"] + 1, F.length(text)))))
+
+
+def merged(spans: Column) -> Column:
+    """Spans as stretches without overlap."""
+
+    def step(at: Column, s: Column) -> Column:
+        return F.struct(F.greatest(at, s["end"]).alias("at"), F.when(s["end"] > at, F.struct(F.lit("").alias("kind"), F.greatest(at, s["start"]).alias("start"), s["end"].alias("end"))).alias("out"))
 
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    return F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return folded(by_start, "struct<kind:string,start:int,end:int>", step)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans' characters."""
+    return replaced(text, merged(spans), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
 
 
 def word(x: Column) -> Column:
@@ -125,7 +163,7 @@ def disclosing(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> Da
     """(h, terms): for a text's hash the hashes of the terms that disclose an entity of that text, from counts over all documents."""
     texts = docs.select("text")
     total = float(docs.count())
-    own = with_entities(texts).where(F.size("_e") > 0).select(F.xxhash64("_t", F.lit(1)).alias("h"), F.array_distinct(F.transform("_e", entity)).alias("es"), F.array_distinct(F.transform("_e", lambda s: s["kind"])).alias("kinds"), terms_of(blanked(F.col("_t"), F.col("_e"))).alias("ts"))  # no texts
+    own = with_entities(texts).where(F.size("e") > 0).select(F.xxhash64("t", F.lit(1)).alias("h"), F.array_distinct(F.transform("e", entity)).alias("es"), F.array_distinct(F.transform("e", lambda s: s["kind"])).alias("kinds"), terms_of(blanked(F.col("t"), F.col("e"))).alias("ts"))  # no texts
     own = written(own.groupBy("h").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("es", "kinds", "ts"))), f"{folder}/entities")
     # Keys: entities by the texts that hold them, and kinds; each with its number of documents.
     held = own.select("h", "m", F.explode("es").alias("e"))
@@ -135,8 +173,12 @@ def disclosing(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> Da
     kinds = F.filter(F.array(*(F.struct(F.xxhash64(F.lit(k)).alias("k"), F.lit(n_kind[k]).cast("long").alias("n_e"), F.lit(k).alias("kind")) for k in KINDS)), lambda x: F.array_contains("kinds", x["kind"]))
     # Words that may disclose: an entity of one document has the least probability, and asks for the smallest p(e | t).
     at = own.select("h", "m", F.explode("ts").alias("t"))
-    n_t = texts.select(F.explode(terms_of(F.coalesce(F.col("text").cast("string"), F.lit("")), WORD)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    beside = at.groupBy("t").agg(F.sum("m").alias("n_both"), F.count("*").alias("n"))
+    beside = written(at.groupBy("t").agg(F.sum("m").alias("n_both"), F.count("*").alias("n")), f"{folder}/beside")
+    words = texts.select(F.explode(terms_of(F.coalesce(F.col("text").cast("string"), F.lit("")), WORD)).alias("t"))
+    # Only words beside an entity are counted: dropped before the shuffle where there are few enough to send to every task.
+    wanted = beside.select("t")
+    words = words.join(F.broadcast(wanted) if beside.count() <= FEW else wanted, "t", "left_semi")
+    n_t = words.groupBy("t").agg(F.count("*").alias("n_t"))
     given = F.col("n_both") / F.col("n_t") * F.col("n") / (F.col("n") + PRIOR)
     may = n_t.join(beside, "t").where(given >= max(1.0, total) ** (threshold - 1) * (1 - 1e-9)).select("t", "n_t")
     least = lambda n_e: F.pow(n_e / total, F.lit(1 - threshold)) * (1 - 1e-9)
@@ -148,13 +190,13 @@ def disclosing(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> Da
 
 
 def with_spans(docs: DataFrame, folder: str) -> DataFrame:
-    """docs with `_t`, `_e` and `_s`: all spans, terms last. Only documents with entities are dealt out to be joined."""
+    """(row, none, t, e, s) as with_entities() gives, and s: all spans, terms last. Only documents with entities are dealt out to be joined."""
     told = written(disclosing(docs, folder), f"{folder}/told")
     out = with_entities(docs)
-    some = out.where(F.size("_e") > 0).withColumn("_h", F.xxhash64("_t", F.lit(1))).join(told.withColumnsRenamed({"h": "_th", "terms": "_terms"}), F.col("_h") == F.col("_th"), "left")
-    more = placed(blanked(F.col("_t"), F.col("_e")), F.lit(WORD), "term", lambda x: F.array_contains("_terms", word(x)))
-    some = some.withColumn("_s", F.when(F.size("_terms") > 0, F.concat("_e", more)).otherwise(F.col("_e"))).drop("_h", "_th", "_terms")
-    return out.where(F.size("_e") == 0).withColumn("_s", F.col("_e")).unionByName(some)
+    some = out.where(F.size("e") > 0).withColumn("h", F.xxhash64("t", F.lit(1))).join(told, "h", "left")
+    more = placed(blanked(F.col("t"), F.col("e")), F.lit(WORD), "term", lambda x: F.array_contains("terms", word(x)))
+    some = some.withColumn("s", F.when(F.size("terms") > 0, F.concat("e", more)).otherwise(F.col("e"))).select("row", "none", "t", "e", "s")
+    return out.where(F.size("e") == 0).withColumn("s", F.col("e")).unionByName(some)
 
 
 def listed(spans: Column) -> Column:
@@ -164,29 +206,25 @@ def listed(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, the number of entities of each kind, base_sha256 and spans (both over kind:start:end lists) for every document."""
     rows = with_spans(docs.select("doc_id", "text"), shared_dir(docs.sparkSession))
-    count = [F.size(F.array_remove(F.transform("_e", lambda s: s["kind"] != kind), F.lit(True))).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return rows.select("doc_id", *count, F.sha2(listed(F.col("_e")).cast("binary"), 256).alias("base_sha256"), listed(F.col("_s")).alias("spans"))
-
-
-def cleaned(text: Column, spans: Column) -> Column:
-    """The text with each span's kind in its place; spans that overlap give way to the first."""
-    kind = "struct<at:int,out:string>"
-
-    def step(acc: Column, s: Column) -> Column:
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        free = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, put).otherwise(acc["out"]).alias("out")).cast(kind)
-
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("to"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    count = [F.size(F.array_remove(F.transform("e", lambda s: s["kind"] != kind), F.lit(True))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return rows.select(F.col("row")["doc_id"].alias("doc_id"), *count, F.sha2(listed(F.col("e")).cast("binary"), 256).alias("base_sha256"), listed(F.col("s")).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with entities removed and disclosing terms generalised in `text`, and `n_chars`, if there, counted anew."""
-    cols = docs.columns
+    """docs with entities removed and disclosing terms generalised in `text`, and `n_chars`, if there, counted anew.
+
+    Each span's kind stands in its place. The columns are those of docs, whatever their names and types.
+    """
     rows = with_spans(docs, shared_dir(docs.sparkSession))
-    text = F.when(F.size("_s") > 0, cleaned(F.col("_t"), F.col("_s"))).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.size("_s") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    found = F.size("s") > 0
+    rows = rows.withColumn("clean", F.when(found, replaced(F.col("t"), F.col("s"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))
+
+    def final(name: str) -> Column:
+        if name == "text":
+            return F.coalesce(F.col("clean"), F.when(~F.col("none"), F.col("t"))).alias(name)
+        own = F.col("row").getField(name)
+        if name == "n_chars":
+            own = F.when(found, F.length("clean").cast(docs.schema[name].dataType)).otherwise(own)
+        return own.alias(name)
+
+    return rows.select(*map(final, docs.columns))
