@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by_batch, small_batches
+from .common import by_batch, col, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -227,14 +228,21 @@ def read_model(spark: SparkSession, path: str) -> bytes:
         return f.read()
 
 
+MADE = ("n_tokens", "token_ids", "lossless")
+
+
 def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, columns to carry, n_tokens, token_ids and lossless (whether decoding gives the text again) for every document."""
+    """doc_id, columns to carry, n_tokens, token_ids and lossless (whether decoding gives the text again) for every document.
+
+    Columns to carry may have any name and type, but those named like the last three (or doc_id) are replaced by them.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     data = read_model(spark, path)
     verify(data, list(PROBES))
     shared = spark.sparkContext.broadcast(data)  # a vocabulary: of fixed size
-    kept = ("doc_id", *carry)
+    kept = ("doc_id", *(c for c in carry if c not in MADE and c != "doc_id"))
+    places = [f"k{i}" for i in range(len(kept))]  # names that clash with nothing
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         codec = Codec.of(shared.value, threads)
@@ -242,11 +250,12 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS, carry: tu
         flat, offsets, same = codec.encode_flat(texts)
         if sample := [t for t, c in zip(texts, b["check"].to_pylist(), strict=True) if c]:
             verify(shared.value, sample)
-        return pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(np.diff(offsets), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(same)], names=[*kept, "n_tokens", "token_ids", "lossless"])
+        return pa.RecordBatch.from_arrays([*(b[c] for c in places), pa.array(np.diff(offsets), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(same)], names=[*places, *MADE])
 
-    rows = docs.select(*kept, F.col("text").cast("string").alias("text"), F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARITY_EVERY)) == 0, F.lit(False)).alias("check"))
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(by_batch(run), ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_tokens int, token_ids array<int>, lossless boolean")
+    text = F.col("text").cast("string")
+    rows = docs.select(*(col(c).alias(k) for c, k in zip(kept, places, strict=True)), text.alias("text"), F.coalesce(F.pmod(F.xxhash64(text, F.lit(3)), F.lit(PARITY_EVERY)) == 0, F.lit(False)).alias("check"))
+    kinds = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in places] + [T.StructField(n, t) for n, t in zip(MADE, (T.IntegerType(), T.ArrayType(T.IntegerType()), T.BooleanType()), strict=True)])
+    return rows.mapInArrow(by_batch(run), kinds).select(*(F.col(k).alias(c) for c, k in zip(kept, places, strict=True)), *MADE)
 
 
 def decode(tokens: DataFrame, path: str = MODEL, threads: int = THREADS) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit_array, shared_dir, small_batches, summed_array, written
+from .common import col, emit_array, shared_dir, small_batches, summed_array, written
 from .components import components
 from .textkit import SPACE, U, mix, shingles, slices, text_bytes, words
 
@@ -422,23 +422,25 @@ def elements(docs: DataFrame, of: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component one document, with the columns it came with: that with the smallest id, and of equal ids one.
 
-    Rows are known by their id and a hash of all their columns; a null id counts as greater than any other.
+    Rows are known by their id and a hash of all their columns, of any names and types (those that hold maps are hashed as
+    JSON); a null id counts as greater than any other.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
+    hashed = [F.to_json(F.struct(col(f.name).alias("v"))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else col(f.name) for f in docs.schema.fields]
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*hashed).alias("hash"))
     ids = written(join(docs.select(row.alias("doc_id"), "text"), folder), f"{folder}/ids")
     # Few documents go, so what goes is joined, not what stays.
-    gone = written(ids.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_row")).distinct(), f"{folder}/gone")
-    again = written(ids.groupBy(F.col("doc_id").alias("_row")).agg(F.count("*").alias("n")).where("n > 1").select("_row"), f"{folder}/again")
+    gone = written(ids.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), f"{folder}/gone")
+    again = written(ids.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"), f"{folder}/again")
     # A null within a row's name equals a null here: names are compared as text.
     name = lambda c: F.concat_ws("|", F.coalesce(c["id"].cast("string"), F.lit("null")), c["hash"].cast("string"))
-    named = docs.withColumn("_name", name(row))
-    left = named.join(gone.select(name(F.col("_row")).alias("_name")), "_name", "left_anti")
-    if again.isEmpty():
-        return left.select(*docs.columns)
-    twice = again.select(name(F.col("_row")).alias("_name"))
-    return left.join(twice, "_name", "left_anti").unionByName(left.join(twice, "_name", "left_semi").dropDuplicates(["_name"])).select(*docs.columns)
+    named = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), name(row).alias("name"))
+    left = named.join(gone.select(name(F.col("gone")).alias("name")), "name", "left_anti")
+    if not again.isEmpty():
+        twice = again.select(name(F.col("again")).alias("name"))
+        left = left.join(twice, "name", "left_anti").unionByName(left.join(twice, "name", "left_semi").dropDuplicates(["name"]))
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from arbolist.llm import decontaminate, entries, pii, quality_rules, sentencepiece_codec, textkit, warc
+import corpus_pipeline
+from arbolist.llm import decontaminate, entries, lang_id, pii, quality_net, quality_rules, sentencepiece_codec, signature_tree, textkit, toxicity, warc
 from arbolist.llm.common import shared_dir, written
 
 DATA = "/root/testdata/sf0.001"
@@ -215,33 +216,49 @@ def secret_rows():
 
 
 def test_disclosing_terms_against_counts(spark):
-    rows = secret_rows() * 2
-    got = {r["doc_id"]: r["spans"] for r in pii.find(docs_of(spark, rows)).collect()}
-    texts = dict(rows)
-
-    def context(t, a, b):
-        lo, hi = max(0, a - pii.CONTEXT), b + pii.CONTEXT
-        before, after = t[lo:a], t[b:hi]
-        before = re.sub(r"^[^\W\d_]+", "", before) if lo > 0 else before
-        after = re.sub(r"[^\W\d_]+$", "", after) if len(after) == pii.CONTEXT else after
-        return before + " " + after
-
-    words = lambda t: set(re.findall(r"[^\W\d_]{4,}", t.lower()))
-    n_t, met, contexts, holders = collections.Counter(), collections.Counter(), collections.defaultdict(set), 0
-    for _, t in rows:
-        n_t.update(words(t))
-        for _, a, b in spans_of(t):
-            holders += 1
-            c = context(t, a, b)
-            met.update(words(c))
-            for w in words(c):
-                contexts[w].add(c)
-    ic = -math.log(holders / len(rows))
-    told = {w for w in met if len(contexts[w]) >= pii.SUPPORT and math.log(met[w] * len(rows) / (holders * n_t[w])) / ic >= pii.THRESHOLD}
-    assert "zebrafish" in told and "common" not in told
-    for i, s in got.items():
-        found = {texts[i][int(x.split(":")[1]) : int(x.split(":")[2])].lower() for x in s.split(",") if x.startswith("term")}
-        assert found == (told & words(texts[i]) if spans_of(texts[i]) else set())
+    got, want = disclosed(spark, secret_rows() * 2)
+    assert got == want and "zebrafish" in got[0] and not any("common" in x for x in got.values())
+
+
+ODD = "doc_id long, text string, `a.b` string, `m` map<string,int>, _t string, _e int, t string, e string, s string, h string, row string, none string, terms string, name string, `check` string, k0 string, n_tokens string, n_chars int"
+
+
+def odd_docs(spark, rows):
+    """Documents with columns of all the names that operators use themselves, a dotted one and a map."""
+    made = [(i, t, f"dot{k}", {"x": k, "y": 2}, f"t{k}", k, "1", "2", "3", "4", "5", "6", "7", f"name{k}", "c", "k", "n", len(t or "")) for k, (i, t) in enumerate(rows)]
+    return written(spark.createDataFrame(made, ODD), f"{shared_dir(spark)}/odd")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [*secret_rows(), (900, "card 4111 1111 1111 1111, ip 10.0.0.1 and some more words to be kept here"), (901, None), (901, None), (902, ""), (903, "clean text of ten words that is kept as it is here")]
+    docs = odd_docs(spark, rows)
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    plain = lambda df, cols: sorted((str([r[c] for c in cols]) for r in df.collect()))
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns and clean.schema.simpleString() == docs.schema.simpleString() and plain(clean, others) == plain(docs, others)
+    assert {r["text"] for r in clean.collect() if r["doc_id"] in (900, 901, 902)} == {"card [CARD], ip [IP] and some more words to be kept here", None, ""}
+    one = signature_tree.keep_one(docs.union(docs))
+    assert one.columns == docs.columns and set(plain(one, docs.columns)) <= set(plain(docs, docs.columns)) and one.where("doc_id = 901").count() >= 1 and one.where("doc_id = 903").count() == 1
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns and set(plain(kept, docs.columns)) <= set(plain(docs, docs.columns))
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame([("x1", "clean text of ten words that is kept")], "item_id string, text string"))
+    assert left.columns == docs.columns and plain(left, docs.columns) == plain(docs.where("doc_id <> 903"), docs.columns)
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = sentencepiece_codec.encode(docs, carry=tuple(carried))
+    own = [c for c in carried if c not in sentencepiece_codec.MADE]
+    assert out.columns == ["doc_id", *own, "n_tokens", "token_ids", "lossless"] and plain(out, ["doc_id", *own]) == plain(docs, ["doc_id", *own])
+    assert corpus_pipeline.tokens(spark, docs.limit(0), DATA).count() == 0 and sorted(r["n_tokens"] for r in corpus_pipeline.tokens(spark, docs, DATA).collect() if r["doc_id"] in (901, 902)) == [0, 0, 0]
+
+
+def test_ids_may_be_strings(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", "lang")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    held, n = F.lit(False), docs.count()
+    table = quality_net.context_table(docs)
+    assert toxicity.tag(docs, toxicity.train(docs, labels, held), held).count() == quality_net.classify(docs, quality_net.train(docs, labels, held, table), table, held).count() == n
+    assert lang_id.identify(docs, lang_id.train(docs, held), held).count() == signature_tree.join(docs).count() == n
+    items = spark.createDataFrame([("q1", docs.first()["text"][:200])], "item_id string, text string")
+    assert {r["item_id"] for r in decontaminate.search(docs, items).collect()} <= {"q1"}
 
 
 def test_sanitised_texts(spark):
@@ -305,7 +322,8 @@ def test_words_are_folded_alike():
     pairs = [("ÉTÉ Straße ＡＢＣ ΟΔΟΣ", "été STRASSE abc οδος"), ("ﬁne Å", "fine å"), ("e\u0301te", "éte")]
     for a, b in pairs:
         assert (decontaminate.hashes(a) == decontaminate.hashes(b)).all()
-    assert decontaminate.folded(pa.array([b"\xff\xe9 x", None]).view(pa.string())).to_pylist() == ["\ufffd\ufffd x", None]
+    raw, off = decontaminate.folded(pa.array([b"\xff\xe9 x", None, b"\xc3\x89\xc3\x97\xc3\x9f", b"\xc3"]).view(pa.string()))
+    assert [raw[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)] == ["\ufffd\ufffd x".encode(), b"", "é×ss".encode(), b"\xc3"]
 
 
 def test_benchmark_passages_are_found(spark):
