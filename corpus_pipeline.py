@@ -34,11 +34,13 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_tokens", "token_ids", "lossless")))
+    """Columns of documents named n_tokens, token_ids or lossless are replaced by the stage's own."""
+    return sentencepiece_codec.encode(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
 
 
 STAGES = [("quality", quality), ("duplicates", duplicates), ("benchmark", benchmark), ("privacy", privacy), ("tokens", tokens)]
-#: The model-based stages and SentencePiece have no SQL form; tests hold run() against a brute-force version.
+#: The model-based stages and SentencePiece have no SQL form. The tests hold run() against a plain version of its stages, in which
+#: duplicates, matches of benchmark items and tokens are found by loops over all texts.
 ORACLE_SQL = None
 
 
