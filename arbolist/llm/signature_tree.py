@@ -1,24 +1,32 @@
 """Jaccard self-join of word shingles by signature trees, and the components that its links make.
 
-Sets. A document's set is the hashes of its distinct five-word shingles. Equal sets are one node, known by a hash of the set.
+Sets. A document's set is the hashes of its distinct five-word shingles. Equal sets are one node, known by 64 bits of hash; a
+second hash of 64 bits tells apart sets that share the first.
 
 Cells. Two sets whose Jaccard similarity is at least 80 % share one of the first n - ceil(0.8 n) + 1 shingles of each, in any
 one order of all shingles. The order here is rarest first, by a sketch of SKETCH counters that is counted over all documents
 (counting errors cost time, never links). The nodes that have a shingle in this prefix are the shingle's cell. A task first
-gathers its own nodes of a cell in one row, so that copies and near copies are few rows.
+gathers its own nodes of a cell in one row, so that copies and near copies are few rows; shingles of more than HOT sets are
+met by aggregation instead of in one task.
 
-Trees. A node has a bitmap of about 4 bits for each shingle and its size. In a cell, nodes are sorted and made leaves, and leaves
-the nodes of a tree, which hold their members' bitmaps combined by OR, their range of sizes, and the greatest number of
-shingles that fall on a bit already set. Of two tree nodes the overlap of any two members is at most
+Blocks. The rows of all cells, in the order of cell, component and size, are dealt out by ranges and cut into blocks of some
+CELL rows, so a cell of any size is as many blocks as it needs, and no task holds it whole.
+
+Trees. A node has a bitmap of about 4 bits for each shingle and its size. In a block, a cell's nodes are sorted and made
+leaves, and leaves the nodes of a tree, which hold their members' bitmaps combined by OR, their range of sizes, and the
+greatest number of shingles that fall on a bit already set. Of two tree nodes the overlap of any two members is at most
 
     min(greatest sizes, surplus + bits that both have)
 
-and what this bound and the sizes leave is traversed down to pairs of sets. Members of one component need no comparison, and
-a node that has enough partners waits for the next round (with more partners allowed), when many members have become one
-component: so a cell of near copies costs rows in proportion to its members, not their pairs. Cells end when nothing waits.
+and what this bound and the sizes leave is traversed down to pairs of sets. Of a cell that lies in several blocks, tree nodes
+of GRANULE sets are sent as summaries, and neighbours of one component joined to one; only granules that the bound leaves are
+brought together. Members of one component need no comparison, and a node, or a component of a large cell, that has enough
+partners waits for the next round (with more partners allowed), when many members have become one component: so a cell of
+near copies costs rows in proportion to its members, not their pairs. Cells end when nothing waits.
 
 Links. Pairs that are left are compared exactly, on sets that are taken from the texts once, for nodes with any partner.
-Components of all links come from repeated contraction. No pair with the similarity is lost at any step.
+Components of all links come from repeated contraction. No pair with the similarity is lost at any step. (Shingles are
+compared by 64-bit hashes: two that differ and hash alike within one pair of sets would count as one.)
 
 Defined results: null text and text without a word have an empty set, are linked with nothing and are components of their
 own; rows that repeat an id are linked only if their texts are; a component is named by its smallest id (null ids only: null).
@@ -30,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +48,12 @@ from .textkit import SPACE, U, mix, shingles, slices, text_bytes, words
 
 SKETCH_BITS = 20
 LEAF = 16
-#: A cell with more nodes is split into pairs of parts, each of which is a unit of work.
-CELL = 4096
+#: Rows of a block, about; rows of a granule; rows that are cut into blocks in one task, about.
+CELL, GRANULE, RANGE = 4096, 256, 1 << 21
+#: Sets that share a shingle, beyond which the shingle's cell is gathered by aggregation.
+HOT = 1 << 20
+#: Rows (cells of 8 bytes) that may be broadcast.
+FEW = 1_000_000
 PERCENT = 80
 
 
@@ -53,9 +66,13 @@ def sets(col: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
             yield np.unique(g[a:b])
 
 
-def name_of(s: np.ndarray) -> int:
-    """The node of a set: a hash of all its elements (0: the empty set)."""
-    return int(np.array([mix(np.array([np.add.reduce(mix(s + U(1))) + U(len(s))], np.uint64))[0] | U(1)], np.uint64).view(np.int64)[0]) if len(s) else 0
+def names_of(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, each of all its elements (0, 0: the empty set)."""
+    if not len(s):
+        return 0, 0
+    sums = np.array([np.add.reduce(mix(s + U(1))) + U(len(s)), np.add.reduce(mix(s * U(0x9E3779B97F4A7C15) + U(5))) ^ U(len(s))], np.uint64)
+    a, b = (mix(sums) | U(1)).view(np.int64).tolist()
+    return a, b
 
 
 def prefix_size(n: int) -> int:
@@ -96,29 +113,51 @@ def _joined(parts: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[np.nda
 
 
 def nodes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, node, bits, and prefix (hashes of its first shingles, as bytes) for each document."""
+    """doc_id, n, node and other (hashes of the set), bits, and prefix (hashes of its first shingles, as bytes) for each document."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counts)  # 2 ** SKETCH_BITS counters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, bits, prefix = [], [], [], []
+            n, names, bits, prefix = [], [], [], []
             for s in sets(b["text"]):
                 n.append(len(s))
-                node.append(name_of(s))
+                names.append(names_of(s))
                 bits.append(bitmap(s).tobytes())
                 p = prefix_size(len(s)) if len(s) else 0
                 order = np.lexsort((s, shared.value[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]))[:p]
                 prefix.append(s[order].tobytes())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "node", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "node", "other", "bits", "prefix"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, node long, bits binary, prefix binary")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, node long, other long, bits binary, prefix binary")
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows with other nodes for sets that share a node's hash but not the second one, and `name`, what the node was."""
+    clash = rows.groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select(F.col("node").alias("name"))
+    own = rows.withColumn("name", F.col("node"))
+    if clash.isEmpty():
+        return own
+    again = clash.withColumn("again", F.lit(True))
+    return own.join(again, "name", "left").withColumn("node", F.when(F.col("again"), F.xxhash64("node", "other")).otherwise(F.col("node"))).drop("again")
 
 
-def cells(rows: DataFrame, parts: int) -> DataFrame:
+def cells(rows: DataFrame, parts: int, counts: np.ndarray) -> DataFrame:
     """(cell, node) for each cell of two nodes or more, by shingle."""
     kind = "part int, token binary, node binary"
+    often = np.packbits(counts > HOT)
+    shared = rows.sparkSession.sparkContext.broadcast(often)  # 2 ** SKETCH_BITS bits
+
+    def is_hot(t: np.ndarray) -> np.ndarray:
+        at = (t >> U(64 - SKETCH_BITS)).astype(np.int64)
+        return (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [(t[h], v) for v, p in zip(b["node"].to_pylist(), b["prefix"].to_pylist(), strict=True) if (h := is_hot(t := np.frombuffer(p, np.uint64))).any()]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _ in own]).view(np.int64)), pa.array(np.repeat([v for _, v in own], [len(t) for t, _ in own]))], names=["token", "node"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tokens and their nodes, without repeats, by part: some million at a time."""
@@ -138,8 +177,10 @@ def cells(rows: DataFrame, parts: int) -> DataFrame:
 
         for b in batches:
             for node, p in zip(b["node"].to_pylist(), b["prefix"].to_pylist(), strict=True):
-                if p:
-                    t = np.frombuffer(p, np.uint64)
+                t = np.frombuffer(p, np.uint64)
+                if often.any():
+                    t = t[~is_hot(t)]
+                if len(t):
                     held.append((t, np.full(len(t), node, np.int64)))
                     size += len(t)
             if size > 1 << 21:
@@ -172,7 +213,14 @@ def cells(rows: DataFrame, parts: int) -> DataFrame:
             for a in range(0, len(cell), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 100_000]), pa.array(v[keep][a : a + 100_000])], names=["cell", "node"])
 
-    return rows.select("node", "prefix").mapInArrow(gather, kind).repartition(parts, "part").mapInArrow(meet, "cell long, node long").distinct()
+    own = rows.select("node", "prefix")
+    out = own.mapInArrow(gather, kind).repartition(parts, "part").mapInArrow(meet, "cell long, node long")
+    if often.any():
+        pairs = own.mapInArrow(hot, "token long, node long").distinct()
+        same = pairs.groupBy("token").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.count("*").alias("n")).where("n > 1")
+        first = same.groupBy("x", "n").agg(F.min("token").alias("token")).select("token")  # cells with the same nodes are one
+        out = out.union(pairs.join(first, "token", "left_semi").select(F.xxhash64("token", F.lit(11)).alias("cell"), "node"))
+    return out.distinct()
 
 
 def bound_ok(n1: np.ndarray, x1: np.ndarray, n2: np.ndarray, x2: np.ndarray, low1: np.ndarray, low2: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -185,10 +233,11 @@ def bound_ok(n1: np.ndarray, x1: np.ndarray, n2: np.ndarray, x2: np.ndarray, low
     return sizes & (PERCENT * (low1 + low2) <= (100 + PERCENT) * most)
 
 
-def traverse(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(a, b, whether any pair waits): pairs of a cell's nodes that the bounds leave, of different components.
+def traverse(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[np.ndarray], limit: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(a, b, whether any pair waits): pairs of a cell's nodes that the bounds leave, of different components (and sides, if given).
 
-    A node takes part in more than `limit` pairs only with nodes that have fewer.
+    A node takes part in more than `limit` pairs only with nodes that have fewer; of two components at most 2 * limit pairs are
+    taken, as one link joins them. What is left so waits.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
     waits = False
@@ -204,9 +253,12 @@ def traverse(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[np.nd
         table = np.stack([bits[i] if len(bits[i]) == w else fold(bits[i]) for i in at])
         pop = np.bitwise_count(table).sum(1, dtype=np.int64)
         size = n[at]
-        a, b, more = dual(table, size, size - pop, comp[at], own, limit)
+        a, b, more = dual(table, size, size - pop, comp[at], own, limit, None if side is None else side[at])
         waits |= more
-        found.append((node[at[a]], node[at[b]]))
+        lo, hi = np.minimum(comp[at[a]], comp[at[b]]), np.maximum(comp[at[a]], comp[at[b]])
+        some = running(mix(lo.view(U)) + mix(hi.view(U)) * U(7)) < 2 * limit
+        waits |= not some.all()
+        found.append((node[at[a[some]]], node[at[b[some]]]))
     if not found:
         z = np.zeros(0, np.int64)
         return z, z, waits
@@ -220,7 +272,7 @@ def fold(b: np.ndarray) -> np.ndarray:
     return np.packbits(x).view(np.uint64)
 
 
-def dual(table: np.ndarray, size: np.ndarray, surplus: np.ndarray, comp: np.ndarray, own: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def dual(table: np.ndarray, size: np.ndarray, surplus: np.ndarray, comp: np.ndarray, own: np.ndarray, limit: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
     """Dual traversal of the tree over the rows of table, which are sorted by component; at least one of a pair is `own`."""
     levels = [(table, size, size, surplus, comp, comp, np.arange(len(size)), own)]
     while len(levels[-1][1]) > LEAF:
@@ -244,6 +296,8 @@ def dual(table: np.ndarray, size: np.ndarray, surplus: np.ndarray, comp: np.ndar
         ok = ~one & (o[i] | o[j])
         if level == 0:
             ok &= i < j
+            if side is not None:
+                ok &= side[i] != side[j]
         i, j = i[ok], j[ok]
         if not len(i):
             continue
@@ -288,53 +342,228 @@ def dual(table: np.ndarray, size: np.ndarray, surplus: np.ndarray, comp: np.ndar
 
 def running(v: np.ndarray) -> np.ndarray:
     """How often a value came before, for each place."""
+    if not len(v):
+        return np.zeros(0, np.int64)
     order = np.argsort(v, kind="stable")
     s = v[order]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(s)) + 1])
+    first = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
     out = np.empty(len(v), np.int64)
     out[order] = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
     return out
 
 
-def candidates(cell_rows: DataFrame, limit: int, parts: int) -> DataFrame:
-    """(cell, a, b): pairs to compare; a row with a = b = 0 for each cell in which pairs wait.
+def cut(light: DataFrame, parts: int) -> DataFrame:
+    """(block, cell, piece, cut, comp, node): rows of cells, in ranges of their order, as blocks of some CELL rows.
 
-    cell_rows: cell, unit, node, n, comp, bits.
+    A piece is a run of a cell in a block; cut: whether the cell may have others.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b["cell"].to_numpy(), b["comp"].to_numpy(), b["node"].to_numpy()) for b in batches]
+        if not held:
+            return
+        c, comp, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        size = np.diff(np.append(begin, len(c)))
+        some = size > CELL
+        some[[0, -1]] = True
+        place = np.arange(len(c)) - np.repeat(begin, size)
+        piece = place // CELL
+        block = (TaskContext.get().partitionId() << 24) + (np.arange(len(c)) - place % CELL) // CELL
+        for a in range(0, len(c), 100_000):
+            at = slice(a, a + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (block, c, piece, np.repeat(some, size), comp, node)], names=["block", "cell", "piece", "cut", "comp", "node"])
+
+    order = ("cell", "comp", "n", "node")
+    return light.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "block long, cell long, piece long, cut boolean, comp long, node long")
+
+
+SUMMARY = "cell long, a long, b long, gid long, piece long, w int, lo long, hi long, c0 long, c1 long, x long, xh long, bits binary, half binary, nodes binary, sizes binary, comps binary, all binary"
+
+
+def candidates(blocks: DataFrame, limit: int, parts: int) -> DataFrame:
+    """Rows (cell, a, b) for pairs to compare (a = b = 0 for each cell in which pairs wait), and rows of granules for cells of several pieces.
+
+    blocks: block, cell, piece, cut, node, n, comp, bits.
+    """
+    names = [x.split()[0] for x in SUMMARY.split(", ")]
+    schema = pa.schema([pa.field(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in SUMMARY.split(", ")])
+
+    def granules(first: int, cell: int, piece: int, node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[np.ndarray]) -> list[dict]:
+        """A row for every GRANULE nodes of one bitmap width, in the order of components and sizes."""
+        out = []
+        width = np.array([len(x) for x in bits])
+        order = np.lexsort((node, n, comp, width))
+        # Cut where the width changes, and about runs of one component that are not short.
+        new = np.concatenate([[True], (width[order][1:] != width[order][:-1]) | (comp[order][1:] != comp[order][:-1])])
+        begin = np.flatnonzero(new)
+        long = np.diff(np.append(begin, len(order))) >= GRANULE // 4
+        wide = np.concatenate([[True], width[order][begin][1:] != width[order][begin][:-1]])
+        for own in np.split(order, begin[wide | long | np.concatenate([[False], long[:-1]])][1:]):
+            for k in range(0, len(own), GRANULE):
+                at = own[k : k + GRANULE]
+                table = np.stack([bits[i] for i in at])
+                small = np.stack([fold(x) for x in table]) if table.shape[1] > 1 else table
+                surplus = lambda t, at=at: int((n[at] - np.bitwise_count(t).sum(1, dtype=np.int64)).max())
+                out.append({
+                    "cell": cell, "gid": first + len(out), "piece": piece, "w": table.shape[1], "lo": int(n[at].min()), "hi": int(n[at].max()), "c0": int(comp[at[0]]), "c1": int(comp[at[-1]]), "x": surplus(table), "xh": surplus(small),
+                    "bits": np.bitwise_or.reduce(table, 0).tobytes(), "half": np.bitwise_or.reduce(small, 0).tobytes(), "nodes": node[at].tobytes(), "sizes": n[at].tobytes(), "comps": comp[at].tobytes(), "all": table.tobytes(),
+                })
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
+        block, many = -1, 0
 
-        def cell_runs(t: pa.Table, last: bool) -> Iterator[tuple[int, pa.Table]]:
+        def runs(t: pa.Table, last: bool) -> Iterator[pa.Table]:
             nonlocal rest
-            c, u = t["cell"].to_numpy(), t["unit"].to_numpy()
-            cut = np.concatenate([[0], np.flatnonzero((c[1:] != c[:-1]) | (u[1:] != u[:-1])) + 1, [len(c)]])
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if b == len(c) and not last:
-                    rest = t.slice(a)
+            b, c, p = (t[x].to_numpy() for x in ("block", "cell", "piece"))
+            ends = np.concatenate([[0], np.flatnonzero((c[1:] != c[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1])) + 1, [len(c)]])
+            for x, y in zip(ends[:-1], ends[1:], strict=True):
+                if y == len(c) and not last:
+                    rest = t.slice(x)
                 else:
-                    yield int(c[a]), t.slice(a, b - a)
+                    yield t.slice(x, y - x)
 
-        def pairs(runs: Iterator[tuple[int, pa.Table]]) -> Iterator[pa.RecordBatch]:
+        def made(pieces: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+            nonlocal block, many
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for cell, t in runs:
-                a, b, waits = traverse(t["node"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy(), [np.frombuffer(x, np.uint64) for x in t["bits"].to_pylist()], limit)
+            more: list[dict] = []
+            for t in pieces:
+                cell, own = t["cell"][0].as_py(), [t[x].to_numpy() for x in ("node", "n", "comp")]
+                bits = [np.frombuffer(x, np.uint64) for x in t["bits"].to_pylist()]
+                a, b, waits = traverse(*own, bits, limit)
                 if waits:
                     a, b = np.append(a, 0), np.append(b, 0)
                 if len(a):
                     out.append((np.full(len(a), cell), a, b))
+                if t["cut"][0].as_py():
+                    if t["block"][0].as_py() != block:
+                        block, many = t["block"][0].as_py(), 0
+                    got = granules((block << 14) + many, cell, (block << 14) + t["piece"][0].as_py(), *own, bits)
+                    many += len(got)
+                    more += got
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["cell", "a", "b"])
+                c, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(a), pa.array(b), *(pa.nulls(len(c), f.type) for f in list(schema)[3:])], names=names)
+            for k in range(0, len(more), 64):
+                yield pa.RecordBatch.from_pylist(more[k : k + 64], schema)
 
         for b in batches:
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
             rest = None
-            yield from pairs(cell_runs(t, False))
+            yield from made(runs(t, False))
         if rest is not None:
-            yield from pairs(cell_runs(rest, True))
+            yield from made(runs(rest, True))
+
+    return blocks.repartition(parts, "block").sortWithinPartitions("block", "cell", "piece").mapInArrow(run, SUMMARY)
+
+
+def granule_pairs(summaries: DataFrame, limit: int, parts: int, all_wait: bool) -> DataFrame:
+    """(cell, a, b): granules of different pieces of a cell that the bound leaves (a = b = 0 for each cell in which some wait).
+
+    Neighbours of one component are one for this; each takes part in at most `limit` pairs in a round (with others that do), and
+    of two components a few granules do, as one link joins them. In the first round, in which every node is a component of
+    its own, all wait.
+    """
+    few = max(1, limit // 8)
+
+    def of_cell(t: pa.Table) -> tuple[list[tuple[int, int]], bool]:
+        if all_wait:
+            return [], True
+        t = t.sort_by([("w", "ascending"), ("c0", "ascending"), ("c1", "ascending"), ("lo", "ascending"), ("gid", "ascending")])
+        w, lo, hi, c0, c1, x, xh, gid, piece = (t[k].to_numpy() for k in ("w", "lo", "hi", "c0", "c1", "x", "xh", "gid", "piece"))
+        bits, half = ([np.frombuffer(v, np.uint64) for v in t[k].to_pylist()] for k in ("bits", "half"))
+        pure = c0 == c1
+        joined = np.concatenate([[False], pure[1:] & pure[:-1] & (c0[1:] == c0[:-1]) & (w[1:] == w[:-1])])
+        group = np.cumsum(~joined) - 1
+        first = np.flatnonzero(~joined)
+        out: list[tuple[int, int]] = []
+        waits, degree = False, np.zeros(len(first), np.int64)
+        for width in np.unique(w):
+            at = np.flatnonzero((w == width) | (w == 2 * width))
+            own = w[at] == width
+            table = np.stack([bits[i] if o else half[i] for i, o in zip(at, own, strict=True)])
+            extra = np.where(own, x[at], xh[at])
+            begin = np.flatnonzero(np.concatenate([[True], group[at][1:] != group[at][:-1]]))
+            tops, top, low, high, most = group[at][begin], np.bitwise_or.reduceat(table, begin), np.minimum.reduceat(lo[at], begin), np.maximum.reduceat(hi[at], begin), np.maximum.reduceat(extra, begin)
+            size = np.diff(np.append(begin, len(at)))
+
+            def near(i, j, t=None, n=None, s=None, z=None):
+                return bound_ok(n[i], s[i], n[j], s[j], z[i], z[j], np.bitwise_count(t[i] & t[j]).sum(1, dtype=np.int64))
+
+            for i in range(len(begin)):
+                if not own[begin[i]]:
+                    continue  # of two wider ones, the wider table decides
+                js = np.arange(len(begin))
+                js = js[(js > i) | ~own[begin]]
+                js = js[~(pure[first[tops[js]]] & pure[first[tops[i]]] & (c0[first[tops[js]]] == c0[first[tops[i]]]))]
+                js = js[near(np.full(len(js), i), js, top, high, most, low)] if len(js) else js
+                for j in js.tolist():
+                    a, b = np.arange(begin[i], begin[i] + size[i]), np.arange(begin[j], begin[j] + size[j])
+                    both_pure = pure[first[tops[i]]] and pure[first[tops[j]]]
+                    if degree[tops[i]] >= limit and degree[tops[j]] >= limit:
+                        waits = True
+                        continue
+                    taken = 0
+                    for k in a.tolist():
+                        m = b[near(np.full(len(b), k), b, table, hi[at], extra, lo[at])]
+                        m = m[piece[at[m]] != piece[at[k]]]
+                        if both_pure and taken + len(m) > few:
+                            m, waits = m[: few - taken], True
+                        out += [(int(gid[at[k]]), int(gid[at[v]])) for v in m]
+                        taken += len(m)
+                        if both_pure and waits and taken >= few:
+                            break
+                    if taken:
+                        degree[tops[i]] += 1
+                        degree[tops[j]] += 1
+        return out, waits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        cell = t["cell"].to_numpy()
+        ends = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            own = t.slice(a, b - a)
+            if len(set(own["piece"].to_pylist())) > 1:
+                pairs, waits = of_cell(own)
+                pairs += [(0, 0)] * waits
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(cell[a])] * len(pairs), pa.int64()), pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["cell", "a", "b"])
+
+    own = summaries.select("cell", "gid", "piece", "w", "lo", "hi", "c0", "c1", "x", "xh", "bits", "half")
+    return own.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, a long, b long")
+
+
+def across(pairs: DataFrame, granules: DataFrame, limit: int) -> DataFrame:
+    """(cell, a, b) as candidates() gives, from pairs of granules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for r in b.to_pylist():
+                own = [np.concatenate([np.frombuffer(r[s][k], np.int64) for s in "xy"]) for k in ("nodes", "sizes", "comps")]
+                bits, side = [], []
+                for k, s in enumerate("xy"):
+                    n = len(r[s]["nodes"]) // 8
+                    bits += list(np.frombuffer(r[s]["all"], np.uint64).reshape(n, -1))
+                    side += [k] * n
+                i, j, waits = traverse(*own, bits, limit, np.array(side))
+                if waits:
+                    i, j = np.append(i, 0), np.append(j, 0)
+                if len(i):
+                    out.append((np.full(len(i), r["cell"]), i, j))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["cell", "a", "b"])
 
-    return cell_rows.repartition(parts, "cell", "unit").sortWithinPartitions("cell", "unit").mapInArrow(run, "cell long, a long, b long")
+    load = granules.select("gid", F.struct("nodes", "sizes", "comps", "all").alias("v"))
+    two = pairs.join(load.select(F.col("gid").alias("a"), F.col("v").alias("x")), "a").join(load.select(F.col("gid").alias("b"), F.col("v").alias("y")), "b")
+    return two.select("cell", "x", "y").mapInArrow(run, "cell long, a long, b long")
 
 
 def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -346,34 +575,39 @@ def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = sketch(docs)
     parts = max(parts, int(counts.sum(dtype=np.int64) // 5 >> 22))  # a task sorts some million tokens
-    rows = written(nodes(docs, counts), f"{folder}/nodes")
-    cell = written(cells(rows, parts), f"{folder}/cells")
+    rows = told_apart(written(nodes(docs, counts), f"{folder}/nodes"))
+    cell = written(cells(rows, parts, counts), f"{folder}/cells")
 
     # One row for each node in a cell. Copies meet before the shuffle.
-    first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+    first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.first("name").alias("name"), F.first("other").alias("other"))
     bits = written(first.join(cell.select("node").distinct(), "node", "left_semi"), f"{folder}/bits")
-    links = compared = None
+    links = compared = full = None
     comp, limit, k, took = None, 2, 0, None
     while True:
-        own = cell if took is None else cell.join(took, "cell", "left_semi")
-        named = own.withColumn("comp", F.col("node")) if comp is None else own.join(comp, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
-        open_cells = named.groupBy("cell").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell", F.ceil(F.col("k") / CELL).cast("int").alias("c"))
-        unit = F.expr(f"""
-            CASE WHEN c = 1 THEN array(0) ELSE transform(sequence(0, c - 1), i -> least(i, cast(pmod(xxhash64(comp), c) AS int)) * c + greatest(i, cast(pmod(xxhash64(comp), c) AS int))) END""")
-        units = named.join(open_cells, "cell").select("cell", F.explode(unit).alias("unit"), "node", "comp").join(bits, "node").select("cell", "unit", "node", "n", "comp", "bits")
-        got = written(candidates(units, limit, parts), f"{folder}/candidates{k}")
-        pairs = got.where("a <> b").select("a", "b").distinct()
+        own = cell if took is None else cell.join(F.broadcast(took) if took.count() <= FEW else took, "cell", "left_semi")
+        place = bits.select("node", "n", F.col("node").alias("comp")) if comp is None else bits.select("node", "n").join(comp, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
+        light = written(own.join(place, "node").select("cell", "comp", "n", "node"), f"{folder}/light{k}")
+        blocks = cut(light, max(parts, light.count() // RANGE)).join(bits.select("node", "n", "bits"), "node")
+        got = written(candidates(blocks, limit, parts), f"{folder}/candidates{k}")
+        granules = got.where("gid is not null")
+        near = written(granule_pairs(granules, limit, parts, k == 0), f"{folder}/granules{k}")
+        far = written(across(near.where("a <> b"), granules, limit), f"{folder}/across{k}")
+        found = got.where("gid is null").select("cell", "a", "b").union(far)
+        pairs = found.where("a <> b").select("a", "b").distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = written(pairs, f"{folder}/pairs{k}")
-        if k == 0:
-            partners = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node"))
-            full = written(elements(docs, bits.join(partners, "node").select("node", "doc_id")), f"{folder}/sets")
+        partners = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        new_sets = bits.join(partners, "node", "left_semi").select("node", "doc_id", "name", "other")
+        if full is not None:
+            new_sets = new_sets.join(full.select("node"), "node", "left_anti")
+        fetched = written(elements(docs, new_sets), f"{folder}/sets{k}")
+        full = fetched if full is None else full.union(fetched)
         new = written(verify(pairs, full), f"{folder}/links{k}")
         links = new if links is None else links.union(new)
         compared = pairs if compared is None else compared.union(pairs)
         comp = components(links, f"{folder}/comp{k}")
-        took = got.where("a = b").select("cell").distinct()
+        took = written(found.union(near).where("a = b").select("cell").distinct(), f"{folder}/took{k}")
         if took.isEmpty():
             break
         limit, k = limit * 4, k + 1
@@ -384,14 +618,16 @@ def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def elements(docs: DataFrame, of: DataFrame) -> DataFrame:
-    """(node, elements): the sets of nodes, each from the text of one document; of: (node, doc_id).
+    """(node, elements): the sets of nodes, each from the text of one document; of: (node, doc_id, name, other).
 
     Texts are not shuffled: a Bloom filter of the ids, of bounded size, says which to take sets from, and the sets are
     joined. Where there are too many ids for it to tell them apart, only more sets are taken than needed.
     """
     spark = docs.sparkSession
     of = written(of, f"{shared_dir(spark)}/of")
-    size = 1 << min(27, max(16, int(16 * of.count()).bit_length()))
+    if not (many := of.count()):
+        return spark.createDataFrame([], "node long, elements binary")
+    size = 1 << min(29, max(16, int(16 * many).bit_length()))
 
     def places(ids: pa.Array) -> list[np.ndarray]:
         h = ids.to_numpy().view(np.uint64)
@@ -405,18 +641,18 @@ def elements(docs: DataFrame, of: DataFrame) -> DataFrame:
         yield from emit_array(total)
 
     h = F.xxhash64("doc_id").alias("h")
-    shared = spark.sparkContext.broadcast(summed_array(of.select(h).mapInArrow(mark, "part int, blob binary"), (size >> 3,), np.uint8, join=np.bitwise_or))  # 16 MB at most
+    shared = spark.sparkContext.broadcast(summed_array(of.select(h).mapInArrow(mark, "part int, blob binary"), (size >> 3,), np.uint8, join=np.bitwise_or))  # 64 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = np.logical_and(*((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in places(b["h"])))
-            got = [(name_of(s), s.tobytes()) for s in sets(b["text"].filter(pa.array(own)))]
+            got = [(*names_of(s), s.tobytes()) for s in sets(b["text"].filter(pa.array(own)))]
             if got:
-                yield pa.RecordBatch.from_arrays([b["doc_id"].filter(pa.array(own)), pa.array([v for v, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["doc_id", "node", "elements"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].filter(pa.array(own)), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["d", "v", "o", "elements"])
 
-    found = docs.select("doc_id", "text", h).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, elements binary")
-    ids = of.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"))
-    return found.join(ids, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "elements").dropDuplicates(["node"])
+    found = docs.select("doc_id", "text", h).mapInArrow(run, f"d {docs.schema['doc_id'].dataType.simpleString()}, v long, o long, elements binary")
+    met = (F.col("v") == F.col("name")) & (F.col("o") == F.col("other")) & F.col("d").eqNullSafe(F.col("doc_id"))
+    return found.join(of, met).select("node", "elements").dropDuplicates(["node"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
