@@ -439,7 +439,7 @@ def theta_join_match(spark, d):
 
 @query("SELECT i, j, printf('(pair %d (of %d))', i, j) AS txt FROM generate_series(1, 20) a(i), LATERAL generate_series(1, i) b(j)")
 def lateral_series(spark, d):
-    rows = spark.sql("SELECT cast(a.id AS INT) AS i, j FROM range(1, 21) a, LATERAL explode(sequence(1, cast(a.id AS INT))) AS b(j)")
+    rows = spark.sql("SELECT a.id AS i, j FROM range(1, 21) a, LATERAL explode(sequence(1L, a.id)) AS b(j)")
     return rows.select("i", "j", C.sexp_text(C.parse_sexp(F.format_string("(pair %d  (of %d))", "i", "j"))).alias("txt"))
 
 
