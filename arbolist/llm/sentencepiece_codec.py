@@ -39,6 +39,9 @@ PARITY_EVERY = 499
 #: Words that a worker keeps the ids of, and the longest of them; beyond, all are forgotten and learnt anew.
 KEPT, KEPT_CHARS = 400_000, 64
 PROBES = ("", " ", "Hello world", "  two  spaces ", "été naïve Straße 你好 \U0001f600", "tabs\tand\nlines\r\n", "a" * 50, "=" * 33 + " " * 9 + "x", "<s> <unk> </s>", "1234567890 3.14", "\u0000\u0001", "ﬁ ½ Å")
+#: What stands in a unigram vocabulary for pieces that no text is cut into, and texts that hold what only looks like a piece.
+HIDDEN = "\U0010ffff\U0010fffe{}\U0010ffff"
+LIKE_PIECES = re.compile("<0x[0-9A-F]{2}>|\U0010ffff")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -120,7 +123,10 @@ def build(m: Model, prefix: bool | None = None):
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     if m.kind == 1:
-        t = Tokenizer(models.Unigram([(text, score) for text, score, _ in m.pieces], unk_id=m.unk_id, byte_fallback=m.byte_fallback))
+        top = max((score for _, score, kind in m.pieces if kind == NORMAL), default=0.0)
+        scores = {USER_DEFINED: lambda text, score: len(text.encode()) * top - 0.1}
+        vocab = [(HIDDEN.format(i) if kind in (UNKNOWN, CONTROL, UNUSED) else text, scores.get(kind, lambda text, score: score)(text, score)) for i, (text, score, kind) in enumerate(m.pieces)]
+        t = Tokenizer(models.Unigram(vocab, unk_id=m.unk_id, byte_fallback=m.byte_fallback))
     else:
         usable = {text: (score, i) for i, (text, score, kind) in enumerate(m.pieces) if kind in (NORMAL, USER_DEFINED)}
         merges = []
@@ -147,8 +153,9 @@ class Codec:
     made: dict[int, Codec] = {}
 
     def __init__(self, data: bytes):
-        self.model = m = parse_model(data)
+        self.model, self.data = (m := parse_model(data)), data
         self.first, self.rest = build(m), build(m, prefix=False)
+        self.hidden = {i for i, p in enumerate(m.pieces) if p[2] in (UNKNOWN, CONTROL, UNUSED)} if m.kind == 1 else set()
         self.by_word = cuttable(m) and m.dummy_prefix and not m.squeeze and not m.charsmap
         self.forget()
 
@@ -164,10 +171,23 @@ class Codec:
         self.place: dict[str, int] = {}
         self.ids, self.begin, self.same = array("i"), array("q", [0]), array("b")
 
+    def ids_of(self, texts: list[str], prefixed: bool) -> list[list[int]]:
+        """Ids of texts; prefixed: each begins with the space that the model puts before a text.
+
+        A unigram model's byte pieces are found in texts by the tokenizers library as if they were words. The few texts that
+        hold such a piece's name are encoded by the sentencepiece library.
+        """
+        got = [x.ids for x in (self.rest if prefixed else self.first).encode_batch_fast(texts, add_special_tokens=False)]
+        if self.model.kind == 1:
+            for i, t in enumerate(texts):
+                if LIKE_PIECES.search(t):
+                    got[i] = library(self.data).encode(t[1:] if prefixed else t)
+        return got
+
     def learn(self, words: list[str]) -> None:
         """Keep the ids of words, each with its leading spaces, and whether they decode to the word."""
-        got = [x.ids for x in self.rest.encode_batch_fast(words, add_special_tokens=False)]
-        for w, x, back in zip(words, got, self.rest.decode_batch(got, skip_special_tokens=False), strict=True):
+        got = self.ids_of(words, True)
+        for w, x, back in zip(words, got, self.shown(self.rest, got), strict=True):
             self.place[w] = len(self.same)
             self.ids.extend(x)
             self.begin.append(len(self.ids))
@@ -176,7 +196,7 @@ class Codec:
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids, whether each text is lossless)."""
         if not self.by_word or any(MARK in t for t in texts):
-            got = [x.ids for x in self.first.encode_batch_fast(texts, add_special_tokens=False)]
+            got = self.ids_of(texts, False)
             same = np.array([x == t for x, t in zip(self.decode(got), texts, strict=True)], bool)
             return np.fromiter(chain.from_iterable(got), np.int32), np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64), same
         # As the marker stands before a text, its first word has a space before it like any other.
@@ -203,7 +223,12 @@ class Codec:
         return [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.first.decode_batch(ids, skip_special_tokens=False)
+        return self.shown(self.first, ids)
+
+    def shown(self, tokenizer, ids: list[list[int]]) -> list[str]:
+        hidden = re.compile(HIDDEN.format("([0-9]+)"))
+        name = lambda m: self.model.pieces[int(m[1])][0]
+        return [hidden.sub(name, t) if "\U0010ffff" in t and not self.hidden.isdisjoint(x) else t for t, x in zip(tokenizer.decode_batch(ids, skip_special_tokens=False), ids, strict=True)]
 
 
 def library(data: bytes):

@@ -85,7 +85,7 @@ def unigram_model(pieces, unk=0, bytes_too=True):
 
 def test_unigram_parity():
     data = unigram_model([("▁", -2.0), ("▁the", -1.5), ("he", -2.5), ("t", -4.0), ("h", -4.1), ("e", -4.2), ("▁cat", -3.0), ("c", -5.0), ("a", -5.1), ("at", -3.3), ("s", -4.4), ("▁▁", -3.1)])
-    texts = ["the cat", "  the  cats", "chat é", "", " ", "thethe cat s", "a\nb"]
+    texts = ["the cat", "  the  cats", "chat é", "", " ", "thethe cat s", "a\nb", "<s> the </s><unk>", "x<0x41> <0x42>", "  <0x41>the", "\U0010ffff\U0010fffe1\U0010ffff"]
     sentencepiece_codec.verify(data, texts)
     codec = sentencepiece_codec.Codec.of(data)
     assert codec.model.kind == 1 and codec.decode(codec.encode(texts)) == texts
@@ -115,6 +115,20 @@ def test_words_are_forgotten(monkeypatch):
     assert [codec.encode([t])[0] for t in texts] == want and len(codec.place) <= 8
 
 
+def test_unigram_model_on_a_table(spark, tmp_path):
+    """The unigram part over whole documents, against the sentencepiece library, with repeated rows."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(60)
+    seen = collections.Counter(w[:n] for r in docs.collect() for w in (r["text"] or "").split() for n in (1, 2, 3, 4, 6))
+    rng = np.random.default_rng(2)  # scores without ties, which the libraries may break in different ways
+    pieces = {("▁" + w if k % 2 else w): -float(rng.uniform(2, 12)) for k, (w, _) in enumerate(seen.most_common(600)) if "▁" not in w}
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_model([("▁", -3.0), *((p, s) for p, s in pieces.items() if len(p.encode()) > 1 or p.isalnum())]))
+    own = sentencepiece_codec.library(path.read_bytes())
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = sentencepiece_codec.encode(docs.union(docs), str(path)).collect()
+    assert len(got) == 2 * len(texts) and all(list(r["token_ids"]) == own.encode(texts[r["doc_id"]]) for r in got)
+
+
 def test_no_model_is_an_error():
     with pytest.raises(ValueError):
         sentencepiece_codec.parse_model(b"\x0b\xff\xff\xff")
@@ -355,6 +369,41 @@ def test_benchmark_passages_are_found(spark):
     assert entries.ORACLE.keys() <= entries.queries().keys()
 
 
+def window_scores(h, item):
+    """The greatest share of the item's words that any window of twice its length holds in order."""
+    n = len(item.words)
+    return max((decontaminate.lcs(item.words, h[a : a + 2 * n]) / n for a in range(0, max(1, len(h)), max(1, n // 4)) if len(item.known.intersection(h[a : a + 2 * n])) >= 0.5 * len(item.known)), default=0.0)
+
+
+def test_search_against_all_windows(spark):
+    """What a loop over all windows finds by LCS, with long items too: nothing else is found, and at least nine in ten of these are."""
+    rng = np.random.default_rng(12)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    source = [t for _, t in docs if t and len(t.split()) > 1200][:6]
+    items |= {900 + k: " ".join(t.split()[100 : 100 + n]) for k, (t, n) in enumerate(zip(source, (170, 250, 400, 600, 800, 1000), strict=False))}
+    for k, i in enumerate(sorted(items)):
+        words = [w if rng.random() > 0.15 else f"other{rng.integers(99)}" for w in items[i].split()]
+        docs.append((50_000 + i, " ".join([*docs[k][1].split()[:150], *words, *docs[k + 50][1].split()[:200]])))
+    rows = spark.createDataFrame([*docs, *docs[-3:]], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontaminate.search(rows, bench.union(bench.limit(2))).collect()}
+    want = {}
+    made = [decontaminate.item(i, t) for i, t in items.items()]
+    for d, t in docs:
+        h = decontaminate.hashes(t or "").tolist()
+        for x in made:
+            if len(h) and (s := window_scores(h, x)) >= decontaminate.LCS and (not x.told or decontaminate.lcs(x.answer, h) >= decontaminate.ANSWER * len(x.answer)):
+                want[d, x.item_id] = s
+    hit = [k for k in want if k in got]
+    long = [k for k in want if k[1] >= 900 and k[0] >= 50_000]
+    assert len(hit) >= 0.9 * len(want) and all(k in got for k in long) and len(long) >= 3
+    by_id = dict(docs)
+    for d, i in set(got) - set(want):  # the loop's windows lie elsewhere: the words are there in order
+        x = next(x for x in made if x.item_id == i)
+        assert decontaminate.lcs(x.words, decontaminate.hashes(by_id[d]).tolist()) >= decontaminate.LCS * len(x.words)
+
+
 def disclosed(spark, rows):
     """For each document the terms that pii.find() gives, and the same by brute force."""
     texts = dict(rows)
