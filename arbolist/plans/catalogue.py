@@ -102,6 +102,23 @@ def nil_constant(spark, d):
     return S.read(spark, d, "events").select(C.sexp_nil().alias("x")).where(C.is_nil("x")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT n, n < 1000 AS parsed, CASE WHEN n < 1000 THEN 2 * n + 1 END AS chars FROM (VALUES (1), (998), (999), (1000), (1200)) t(n)")
+def depth_limit(spark, d):
+    """Lists within lists, around a symbol of one letter."""
+    rows = spark.createDataFrame([(1,), (998,), (999,), (1000,), (1200,)], "n int")
+    text = F.concat(F.repeat(F.lit("("), F.col("n")), F.lit("a"), F.repeat(F.lit(")"), F.col("n")))
+    out = rows.select("n", C.sexp_text(C.try_parse_sexp(text)).alias("txt"))
+    return out.select("n", F.col("txt").isNotNull().alias("parsed"), F.length("txt").alias("chars"))
+
+
+@query("SELECT printf('(nation (name \"%s\") (region (name \"%s\")))', n_name, r_name) AS txt FROM nation JOIN region ON n_regionkey = r_regionkey")
+def text_connector(spark, d):
+    """Written as text, a value a line, and read again."""
+    path = f"{S.scratch(spark)}/lines"
+    S.write_text(S.ingested(spark, d, "nation"), path)
+    return S.read_text(spark, path).select(C.sexp_text("sx").alias("txt"))
+
+
 # Inspection (P1-P7)
 @query(values(list(SAMPLES), "lit, t"))
 def typeof_literals(spark, d):
@@ -397,6 +414,14 @@ def gin_keys(spark, d):
     return event_index(spark, d).postings.groupBy(what.alias("what")).agg(F.count("*").cast("decimal(38,0)").alias("n"))
 
 
+@query("SELECT n_name, 10 AS of_value, 8 AS of_needle FROM nation")
+def sql_index_keys(spark, d):
+    """Five atoms, three heads and two pairs; a needle by key has no pairs."""
+    register(spark)
+    S.ingested(spark, d, "nation").select("n_name", C.sexp_text("sx").alias("txt")).createOrReplaceTempView("arbolist_nation_texts")
+    return spark.sql("SELECT n_name, size(sexp_extract_keys(txt)) AS of_value, size(sexp_extract_query_keys(txt)) AS of_needle FROM arbolist_nation_texts")
+
+
 @query("SELECT event_id FROM events WHERE event_type = 'click'")
 def gin_lookup_contains(spark, d):
     return I.lookup(ev(spark, d), event_index(spark, d), '(type "click")', id_col="event_id").select("event_id")
