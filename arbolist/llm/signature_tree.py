@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, emit_array, shared_dir, small_batches, summed_array, written
+from .common import col, drop_dir, emit_array, shared_dir, small_batches, summed_array, written
 from .components import components
 from .textkit import SPACE, U, mix, shingles, slices, text_bytes, words
 
@@ -612,6 +612,9 @@ def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
             break
         limit, k = limit * 4, k + 1
 
+    # What is read from here on is the nodes and the last components.
+    for name in ("cells", "bits", *(f"{x}{i}" for i in range(k + 1) for x in ("light", "candidates", "granules", "across", "pairs", "sets", "links", "took")), *(f"comp{i}" for i in range(k))):
+        drop_dir(spark, f"{folder}/{name}")
     ids = rows.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.when(F.col("node") != 0, F.coalesce("comp", "node")).alias("comp"))
     smallest = ids.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return ids.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -624,7 +627,7 @@ def elements(docs: DataFrame, of: DataFrame) -> DataFrame:
     joined. Where there are too many ids for it to tell them apart, only more sets are taken than needed.
     """
     spark = docs.sparkSession
-    of = written(of, f"{shared_dir(spark)}/of")
+    of = written(of, f"{shared_dir(spark)}/of")  # a row for each node with a partner
     if not (many := of.count()):
         return spark.createDataFrame([], "node long, elements binary")
     size = 1 << min(29, max(16, int(16 * many).bit_length()))
