@@ -45,7 +45,7 @@ WORD = r"[\p{L}\p{N}]++"
 #: Words that can be terms: with a digit, of four letters or more, or of two or three with a capital or of a script without case.
 TERM = r"(?<![\p{L}\p{N}])(?:(?=\p{L}*+\p{N})[\p{L}\p{N}]{2,}+|\p{L}{4,}+|\p{Lu}\p{L}{1,2}+|\p{Lo}{2,3}+)(?![\p{L}\p{N}])"
 PRIOR, THRESHOLD = 1.0, 0.9
-#: Words (of 8 bytes) that may be broadcast; more are joined by a shuffle.
+#: Words (of 8 bytes) that may be broadcast; with more, all are counted.
 FEW = 1_000_000
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -175,9 +175,10 @@ def disclosing(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> Da
     at = own.select("h", "m", F.explode("ts").alias("t"))
     beside = written(at.groupBy("t").agg(F.sum("m").alias("n_both"), F.count("*").alias("n")), f"{folder}/beside")
     words = texts.select(F.explode(terms_of(F.coalesce(F.col("text").cast("string"), F.lit("")), WORD)).alias("t"))
-    # Only words beside an entity are counted: dropped before the shuffle where there are few enough to send to every task.
-    wanted = beside.select("t")
-    words = words.join(F.broadcast(wanted) if beside.count() <= FEW else wanted, "t", "left_semi")
+    # Only words beside an entity are needed: others are dropped before the shuffle where these are few enough to send to every
+    # task, and else after it, counted per task before.
+    if beside.count() <= FEW:
+        words = words.join(F.broadcast(beside.select("t")), "t", "left_semi")
     n_t = words.groupBy("t").agg(F.count("*").alias("n_t"))
     given = F.col("n_both") / F.col("n_t") * F.col("n") / (F.col("n") + PRIOR)
     may = n_t.join(beside, "t").where(given >= max(1.0, total) ** (threshold - 1) * (1 - 1e-9)).select("t", "n_t")

@@ -229,7 +229,9 @@ def secret_rows():
     return rows
 
 
-def test_disclosing_terms_against_counts(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_disclosing_terms_against_counts(spark, monkeypatch, few):
+    monkeypatch.setattr(pii, "FEW", few)
     got, want = disclosed(spark, secret_rows() * 2)
     assert got == want and "zebrafish" in got[0] and not any("common" in x for x in got.values())
 
