@@ -233,11 +233,11 @@ def bound_ok(n1: np.ndarray, x1: np.ndarray, n2: np.ndarray, x2: np.ndarray, low
     return sizes & (PERCENT * (low1 + low2) <= (100 + PERCENT) * most)
 
 
-def traverse(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[np.ndarray], limit: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+def traverse(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[np.ndarray], limit: int, side: np.ndarray | None = None, large: bool = False) -> tuple[np.ndarray, np.ndarray, bool]:
     """(a, b, whether any pair waits): pairs of a cell's nodes that the bounds leave, of different components (and sides, if given).
 
-    A node takes part in more than `limit` pairs only with nodes that have fewer; of two components at most 2 * limit pairs are
-    taken, as one link joins them. What is left so waits.
+    A node takes part in more than `limit` pairs only with nodes that have fewer; in large cells, of two components at most
+    2 * limit pairs are taken, as one link joins them. What is left so waits.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
     waits = False
@@ -255,10 +255,12 @@ def traverse(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[np.nd
         size = n[at]
         a, b, more = dual(table, size, size - pop, comp[at], own, limit, None if side is None else side[at])
         waits |= more
-        lo, hi = np.minimum(comp[at[a]], comp[at[b]]), np.maximum(comp[at[a]], comp[at[b]])
-        some = running(mix(lo.view(U)) + mix(hi.view(U)) * U(7)) < 2 * limit
-        waits |= not some.all()
-        found.append((node[at[a[some]]], node[at[b[some]]]))
+        if large:
+            lo, hi = np.minimum(comp[at[a]], comp[at[b]]), np.maximum(comp[at[a]], comp[at[b]])
+            some = running(mix(lo.view(U)) + mix(hi.view(U)) * U(7)) < 2 * limit
+            waits |= not some.all()
+            a, b = a[some], b[some]
+        found.append((node[at[a]], node[at[b]]))
     if not found:
         z = np.zeros(0, np.int64)
         return z, z, waits
@@ -432,7 +434,7 @@ def candidates(blocks: DataFrame, limit: int, parts: int) -> DataFrame:
             for t in pieces:
                 cell, own = t["cell"][0].as_py(), [t[x].to_numpy() for x in ("node", "n", "comp")]
                 bits = [np.frombuffer(x, np.uint64) for x in t["bits"].to_pylist()]
-                a, b, waits = traverse(*own, bits, limit)
+                a, b, waits = traverse(*own, bits, limit, None, t["cut"][0].as_py())
                 if waits:
                     a, b = np.append(a, 0), np.append(b, 0)
                 if len(a):
@@ -553,7 +555,7 @@ def across(pairs: DataFrame, granules: DataFrame, limit: int) -> DataFrame:
                     n = len(r[s]["nodes"]) // 8
                     bits += list(np.frombuffer(r[s]["all"], np.uint64).reshape(n, -1))
                     side += [k] * n
-                i, j, waits = traverse(*own, bits, limit, np.array(side))
+                i, j, waits = traverse(*own, bits, limit, np.array(side), True)
                 if waits:
                     i, j = np.append(i, 0), np.append(j, 0)
                 if len(i):
@@ -587,6 +589,9 @@ def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
         own = cell if took is None else cell.join(F.broadcast(took) if took.count() <= FEW else took, "cell", "left_semi")
         place = bits.select("node", "n", F.col("node").alias("comp")) if comp is None else bits.select("node", "n").join(comp, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
         light = written(own.join(place, "node").select("cell", "comp", "n", "node"), f"{folder}/light{k}")
+        if k:  # cells that have become one component are done
+            done = written(light.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("cell"), f"{folder}/done{k}")
+            light = light.join(F.broadcast(done) if done.count() <= FEW else done, "cell", "left_anti")
         blocks = cut(light, max(parts, light.count() // RANGE)).join(bits.select("node", "n", "bits"), "node")
         got = written(candidates(blocks, limit, parts), f"{folder}/candidates{k}")
         granules = got.where("gid is not null")
@@ -613,7 +618,7 @@ def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
         limit, k = limit * 4, k + 1
 
     # What is read from here on is the nodes and the last components.
-    for name in ("cells", "bits", *(f"{x}{i}" for i in range(k + 1) for x in ("light", "candidates", "granules", "across", "pairs", "sets", "links", "took")), *(f"comp{i}" for i in range(k))):
+    for name in ("cells", "bits", *(f"{x}{i}" for i in range(k + 1) for x in ("light", "done", "candidates", "granules", "across", "pairs", "sets", "links", "took")), *(f"comp{i}" for i in range(k))):
         drop_dir(spark, f"{folder}/{name}")
     ids = rows.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.when(F.col("node") != 0, F.coalesce("comp", "node")).alias("comp"))
     smallest = ids.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
