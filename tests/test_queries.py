@@ -46,3 +46,13 @@ def test_entry_and_names(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["contains_key_column", "contained_key"])
+def test_needles_need_no_join(spark, con, tmp_path, name):
+    """Each event's needle is made from its own row: ids that repeat or are null count as SQL counts them, and no table of needles is built or broadcast."""
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN event_id % 50 END AS event_id) FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    sql = catalogue.ORACLES[name].replace("FROM events", f"FROM read_parquet('{tmp_path}/events.parquet')")
+    assert [tuple(r) for r in got.collect()] == con.execute(sql).fetchall()
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
