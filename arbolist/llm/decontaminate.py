@@ -3,7 +3,7 @@
 Passages are windows of a document's words; a passage is the TF-IDF vector of its hashed words. A distributed randomised SVD
 gives the latent space: every task adds its passages' share of A'AX for a random X to a table of fixed size, and the driver
 factors the sum (a core matrix of RANK columns, by Nystrom's formula). The passages' frequencies are counted over all
-documents; the space, which is the index's shape and not its contents, is fitted on at most about SAMPLE distinct texts. In that space, made of equal variance in each direction,
+documents, and the space is fitted on all their distinct texts: no sample is taken. In that space, made of equal variance in each direction,
 all windows of all documents are compared by cosine with the benchmark items: in one pass over the texts for at most about ITEMS items.
 Words are folded by Unicode's compatibility normalisation and lower case; a word that repeats the word before it has no
 vector (runs of one word would fill passages), but counts like any other in the exact checks.
@@ -48,9 +48,11 @@ ITEMS, ITEM_BYTES = 16_384, 32 << 20
 PIECE = 1 << 16
 #: Words at an item's start by which exact copies are found: the greatest of these that it has.
 STARTS = (1, 2, 4, 8)
-#: The most distinct texts that the latent space is fitted on (idf is counted over all, and all are searched), and tasks for
-#: that: the sample is of fixed size, so they are too, and with them the tables of fixed size that the tasks send.
-SAMPLE, FIT_TASKS = 6000, 8
+#: Tasks that fit the latent space at least, and passages for each further one (some 75 MB of text): each task sends a table of
+#: fixed size, 8 MB, so that these stay a small part of the input.
+FIT_TASKS, FIT_PASSAGES = 8, 1 << 18
+#: Rows that segment_sums() adds in one step, and words of passages that a task holds before it adds them to its table.
+GROUP, HELD = 8, 1 << 19
 COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
 
 
@@ -121,8 +123,8 @@ class Space:
     table: np.ndarray
 
 
-def idf_of(docs: DataFrame) -> np.ndarray:
-    """Inverse passage frequency of each slot, over all documents."""
+def idf_of(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """(inverse passage frequency of each slot, passages), over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << BITS) + 1, np.int64)
@@ -135,43 +137,82 @@ def idf_of(docs: DataFrame) -> np.ndarray:
         yield from emit_array(total)
 
     c = summed_array(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, blob binary"), ((1 << BITS) + 1,), np.int64)
-    return np.log((1 + c[-1]) / (1 + c[:-1])).astype(np.float32)
+    return np.log((1 + c[-1]) / (1 + c[:-1])).astype(np.float32), int(c[-1])
 
 
 def sampled(docs: DataFrame, sample: int) -> DataFrame:
-    """At most about `sample` distinct texts, chosen by a hash: copies of a text count once."""
+    """At most about `sample` distinct texts, chosen by a hash: copies of a text count once. Neither search() nor drop_contaminated() uses it."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     share = min(1.0, sample / max(1, texts.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]))
     return texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Space:
-    """The latent space, from all passages of at most about `sample` distinct texts."""
+def segment_sums(table: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each segment (size[i] entries of `at`, 1 or more) the sum of its rows of table, whose last row is zeros.
+
+    By GROUP rows at a time: each step is an addition of whole rows, several times as fast as reduceat over an axis.
+    """
+    while True:
+        groups = -(-size // GROUP)
+        room = np.full(int(groups.sum()) * GROUP, len(table) - 1, np.int64)
+        room[np.arange(len(at)) + np.repeat((np.cumsum(groups) - groups) * GROUP - (np.cumsum(size) - size), size)] = at
+        room = room.reshape(-1, GROUP)
+        out = table[room[:, 0]]
+        for k in range(1, GROUP):
+            out += table[room[:, k]]
+        if len(out) == len(size):
+            return out
+        table, at, size = np.vstack([out, np.zeros((1, out.shape[1]), out.dtype)]), np.arange(len(out)), groups
+
+
+def shares(s: np.ndarray, p: np.ndarray, idf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, their rows of A'Ax) of the passages whose words have slots s and passage numbers p, which ascend. rows: x by idf, then zeros."""
+    begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    size = np.diff(begin, append=len(p))
+    y = segment_sums(rows, s, size)
+    # Passages count alike, whatever their words weigh.
+    y /= np.maximum(np.add.reduceat(idf[s] ** 2, begin), 1e-6)[:, None]
+    order = np.argsort(s, kind="stable")
+    own = s[order]
+    at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    passage = np.repeat(np.arange(len(begin)), size)
+    out = segment_sums(np.vstack([y, np.zeros((1, y.shape[1]), y.dtype)]), passage[order], np.diff(at, append=len(own)))
+    return own[at], out * idf[own[at]][:, None]
+
+
+def fit(docs: DataFrame) -> Space:
+    """The latent space, from all passages of all distinct texts."""
     spark = docs.sparkSession
     small_batches(spark)
-    own = sampled(docs, sample).repartition(FIT_TASKS)
-    idf = idf_of(docs)
+    idf, many = idf_of(docs)
+    texts = docs.select(F.col("text").cast("string").alias("text")).distinct().coalesce(max(FIT_TASKS, many // FIT_PASSAGES))
     x = np.random.default_rng(5).normal(size=(1 << BITS, RANK + OVER)).astype(np.float32)
-    shared = spark.sparkContext.broadcast((idf, x * idf[:, None]))  # of fixed size
+    shared = spark.sparkContext.broadcast((idf, np.vstack([x * idf[:, None], np.zeros((1, RANK + OVER), np.float32)])))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, rows = shared.value
         total = np.zeros((1 << BITS, RANK + OVER), np.float32)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        words_held = last = 0
+
+        def add() -> None:
+            slots, own = shares(np.concatenate([s for s, _ in held]), np.concatenate([p for _, p in held]), weight, rows)
+            total[slots] += own
+
         for _, _, _, w in runs(batches):
             if not len((w := once(w)).hash):
                 continue
-            s, p = slot(w.hash), passages(w, FIT)
-            begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            y = np.add.reduceat(rows[s], begin, axis=0)
-            # Passages count alike, whatever their words weigh.
-            y /= np.maximum(np.add.reduceat(weight[s] ** 2, begin), 1e-6)[:, None]
-            order = np.argsort(s, kind="stable")
-            own = s[order]
-            at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            total[own[at]] += np.add.reduceat(y[p[order]], at, axis=0) * weight[own[at]][:, None]
+            p = passages(w, FIT) + last
+            held.append((slot(w.hash), p))
+            words_held, last = words_held + len(p), int(p[-1]) + 1
+            if words_held >= HELD:
+                add()
+                held, words_held = [], 0
+        if held:
+            add()
         yield from emit_array(total)
 
-    z = summed_array(own.mapInArrow(run, "part int, blob binary"), (1 << BITS, RANK + OVER), np.float32).astype(np.float64)
+    z = summed_array(texts.mapInArrow(run, "part int, blob binary"), (1 << BITS, RANK + OVER), np.float32).astype(np.float64)
     return space(idf, x.astype(np.float64), z)
 
 

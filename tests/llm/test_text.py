@@ -478,3 +478,22 @@ def test_sample_of_distinct_texts(spark):
     got = [r["text"] for r in decontaminate.sampled(docs_of(spark, rows), 500).collect()]
     assert len(got) == len(set(got)) and 350 < len(got) < 650
     assert decontaminate.sampled(docs_of(spark, rows), 10_000).count() == 2003
+
+
+def test_space_is_fitted_on_all_texts(spark, monkeypatch):
+    """A'Ax against a loop over the passages of all distinct texts: more texts than any sample had, a long one, copies and nulls."""
+    long = " ".join(f"far{k % 700}" for k in range(3000))
+    rows = [(k, f"text number {k} of w{k % 97} w{k % 89} w{k % 83}") for k in range(9000)] + [(20_000 + k, "one text of many copies") for k in range(3000)] + [(30_000, long), (30_001, None), (30_002, "")]
+    seen = {}
+    monkeypatch.setattr(decontaminate, "space", lambda idf, x, z: seen.update(idf=idf, x=x, z=z))
+    decontaminate.fit(docs_of(spark, rows))
+    want = np.zeros_like(seen["z"])
+    idf = seen["idf"].astype(np.float64)
+    for text in {t for _, t in rows if t}:
+        h = decontaminate.hashes(text)
+        s = decontaminate.slot(h[decontaminate.first_of_runs(h)])
+        for a in range(0, len(s), decontaminate.FIT):
+            own = s[a : a + decontaminate.FIT]
+            y = (seen["x"][own] * idf[own, None]).sum(0) / max((idf[own] ** 2).sum(), 1e-6)
+            np.add.at(want, own, y * idf[own, None])
+    assert np.abs(seen["z"] - want).max() < 1e-4 * np.abs(want).max()
