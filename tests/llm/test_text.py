@@ -497,3 +497,12 @@ def test_space_is_fitted_on_all_texts(spark, monkeypatch):
             y = (seen["x"][own] * idf[own, None]).sum(0) / max((idf[own] ** 2).sum(), 1e-6)
             np.add.at(want, own, y * idf[own, None])
     assert np.abs(seen["z"] - want).max() < 1e-4 * np.abs(want).max()
+
+
+def test_stage_takes_no_sample(spark, monkeypatch):
+    """What drop_contaminated() fits its space on is not sampled."""
+    monkeypatch.setattr(decontaminate, "sampled", lambda *a: pytest.fail("sampled"))
+    item = " ".join(f"told{k}" for k in range(20))
+    docs = docs_of(spark, [(1, f"before it {item} after it"), (2, "some other words of no item"), (3, None)])
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id int, text string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 3]
