@@ -147,6 +147,7 @@ def summed_array(rows: DataFrame, shape: tuple[int, ...], dtype: type, cells: in
     """The sum (or another join) over tasks of what emit_array() gave: an array of fixed size, whatever the input.
 
     Summed in two steps, first in as many groups as there are shuffle partitions, so that no task reads a part of every task.
+    The sums come to the driver in one job: they are of the array's size, and a job for each partition would be as many in turn.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,7 @@ def summed_array(rows: DataFrame, shape: tuple[int, ...], dtype: type, cells: in
     kind = "part int, blob binary"
     first = rows.repartition(n, F.expr("pmod(xxhash64(spark_partition_id(), part), 1024)")).mapInArrow(add, kind)
     total = np.zeros(int(np.prod(shape)), dtype)
-    for r in first.repartition(n, "part").mapInArrow(add, kind).toLocalIterator():
+    for r in first.repartition(n, "part").mapInArrow(add, kind).collect():  # of fixed size
         a = np.frombuffer(r["blob"], dtype)
         at = slice(r["part"] * cells, r["part"] * cells + len(a))
         total[at] = join(total[at], a)

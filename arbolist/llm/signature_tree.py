@@ -34,7 +34,7 @@ own; rows that repeat an id are linked only if their texts are; a component is n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +52,16 @@ LEAF = 16
 CELL, GRANULE, RANGE = 4096, 256, 1 << 21
 #: Sets that share a shingle, beyond which the shingle's cell is gathered by aggregation.
 HOT = 1 << 20
-#: Rows (cells of 8 bytes) that may be broadcast.
+#: Rows (of one to three numbers of 8 bytes) that may be broadcast.
 FEW = 1_000_000
 PERCENT = 80
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be joined: of at most FEW rows it is broadcast, so that what it meets is not shuffled for it."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def sets(col: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     raw, off = text_bytes(col)
@@ -564,7 +569,7 @@ def across(pairs: DataFrame, granules: DataFrame, limit: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["cell", "a", "b"])
 
     load = granules.select("gid", F.struct("nodes", "sizes", "comps", "all").alias("v"))
-    two = pairs.join(load.select(F.col("gid").alias("a"), F.col("v").alias("x")), "a").join(load.select(F.col("gid").alias("b"), F.col("v").alias("y")), "b")
+    two = few(pairs).join(load.select(F.col("gid").alias("a"), F.col("v").alias("x")), "a").join(load.select(F.col("gid").alias("b"), F.col("v").alias("y")), "b")
     return two.select("cell", "x", "y").mapInArrow(run, "cell long, a long, b long")
 
 
@@ -586,12 +591,12 @@ def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
     links = compared = full = None
     comp, limit, k, took = None, 2, 0, None
     while True:
-        own = cell if took is None else cell.join(F.broadcast(took) if took.count() <= FEW else took, "cell", "left_semi")
+        own = cell if took is None else cell.join(few(took), "cell", "left_semi")
         place = bits.select("node", "n", F.col("node").alias("comp")) if comp is None else bits.select("node", "n").join(comp, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
         light = written(own.join(place, "node").select("cell", "comp", "n", "node"), f"{folder}/light{k}")
         if k:  # cells that have become one component are done
             done = written(light.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("cell"), f"{folder}/done{k}")
-            light = light.join(F.broadcast(done) if done.count() <= FEW else done, "cell", "left_anti")
+            light = light.join(few(done), "cell", "left_anti")
         blocks = cut(light, max(parts, light.count() // RANGE)).join(bits.select("node", "n", "bits"), "node")
         got = written(candidates(blocks, limit, parts), f"{folder}/candidates{k}")
         granules = got.where("gid is not null")
@@ -625,16 +630,8 @@ def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
     return ids.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def elements(docs: DataFrame, of: DataFrame) -> DataFrame:
-    """(node, elements): the sets of nodes, each from the text of one document; of: (node, doc_id, name, other).
-
-    Texts are not shuffled: a Bloom filter of the ids, of bounded size, says which to take sets from, and the sets are
-    joined. Where there are too many ids for it to tell them apart, only more sets are taken than needed.
-    """
-    spark = docs.sparkSession
-    of = written(of, f"{shared_dir(spark)}/of")  # a row for each node with a partner
-    if not (many := of.count()):
-        return spark.createDataFrame([], "node long, elements binary")
+def filtered(ids: DataFrame, many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: the rows whose h is one of ids (and some others), by a Bloom filter of at most 64 MB."""
     size = 1 << min(29, max(16, int(16 * many).bit_length()))
 
     def places(ids: pa.Array) -> list[np.ndarray]:
@@ -648,17 +645,37 @@ def elements(docs: DataFrame, of: DataFrame) -> DataFrame:
                 np.bitwise_or.at(total, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield from emit_array(total)
 
-    h = F.xxhash64("doc_id").alias("h")
-    shared = spark.sparkContext.broadcast(summed_array(of.select(h).mapInArrow(mark, "part int, blob binary"), (size >> 3,), np.uint8, join=np.bitwise_or))  # 64 MB at most
+    shared = ids.sparkSession.sparkContext.broadcast(summed_array(ids.mapInArrow(mark, "part int, blob binary"), (size >> 3,), np.uint8, join=np.bitwise_or))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = np.logical_and(*((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in places(b["h"])))
-            got = [(*names_of(s), s.tobytes()) for s in sets(b["text"].filter(pa.array(own)))]
+            yield b.filter(pa.array(own))
+
+    return run
+
+
+def elements(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """(node, elements): the sets of nodes, each from the text of one document; of: (node, doc_id, name, other).
+
+    Texts are not shuffled: hashes of the ids, or of more than FEW a Bloom filter of bounded size, say which to take sets from,
+    and the sets are joined. Where there are too many ids for the filter to tell them apart, only more sets are taken than needed.
+    """
+    spark = docs.sparkSession
+    of = written(of, f"{shared_dir(spark)}/of")  # a row for each node with a partner
+    if not (many := of.count()):
+        return spark.createDataFrame([], "node long, elements binary")
+    h = F.xxhash64("doc_id").alias("h")
+    rows = docs.select("doc_id", "text", h)
+    some = rows.join(F.broadcast(of.select(h)), "h", "left_semi") if many <= FEW else rows.mapInArrow(filtered(of.select(h), many), rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(*names_of(s), s.tobytes()) for s in sets(b["text"])]
             if got:
-                yield pa.RecordBatch.from_arrays([b["doc_id"].filter(pa.array(own)), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["d", "v", "o", "elements"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["d", "v", "o", "elements"])
 
-    found = docs.select("doc_id", "text", h).mapInArrow(run, f"d {docs.schema['doc_id'].dataType.simpleString()}, v long, o long, elements binary")
+    found = some.select("doc_id", "text").mapInArrow(run, f"d {docs.schema['doc_id'].dataType.simpleString()}, v long, o long, elements binary")
     met = (F.col("v") == F.col("name")) & (F.col("o") == F.col("other")) & F.col("d").eqNullSafe(F.col("doc_id"))
     return found.join(of, met).select("node", "elements").dropDuplicates(["node"])
 
@@ -701,5 +718,5 @@ def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
                 m = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([b["a"].filter(m), b["b"].filter(m)], names=["a", "b"])
 
-    p = pairs.join(full.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
+    p = few(pairs).join(full.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     return p.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")

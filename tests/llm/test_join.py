@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from arbolist.llm import components as components_module
 from arbolist.llm import decontaminate, pii, quality_rules, sentencepiece_codec, signature_tree
-from arbolist.llm.common import shared_dir
+from arbolist.llm.common import emit_array, shared_dir, summed_array
 from arbolist.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -234,3 +234,28 @@ def test_stages_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, DATA)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
+
+
+def test_a_sum_takes_few_jobs(spark):
+    """Not a job for each partition: of 211 of them, each sum took 25 s on a small table."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    array = np.arange(40 * 16.0)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.sparkContext.setJobGroup("sum", "")
+        got = summed_array(spark.range(0, 3, 1, 3).mapInArrow(lambda batches: (x for _ in batches for x in emit_array(array, 16)), "part int, blob binary"), (40, 16), float, 16)
+        assert (got == 3 * array.reshape(40, 16)).all()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sum")) < 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+@pytest.mark.parametrize("few", [0, signature_tree.FEW])
+def test_lists_of_any_length(spark, monkeypatch, few):
+    """Lists that are broadcast and lists that are joined (and the Bloom filter) give the same."""
+    monkeypatch.setattr(signature_tree, "FEW", few)
+    small_blocks(monkeypatch)
+    rng = np.random.default_rng(8)
+    rows = family(rng, 120, 100, 1, 1000) + family(rng, 30, 60, 2, 2000) + [(5000 + k, f"a b c d e f {k % 4}") for k in range(40)] + [(None, "a b"), (1, None), (2, "")]
+    check(spark, rows)
