@@ -51,7 +51,7 @@ STARTS = (1, 2, 4, 8)
 #: Tasks that fit the latent space at least, and passages for each further one (some 75 MB of text): each task sends a table of
 #: fixed size, 8 MB, so that these stay a small part of the input.
 FIT_TASKS, FIT_PASSAGES = 8, 1 << 18
-#: Rows that segment_sums() adds up in one step, sums that it holds in the processor's cache meanwhile, and words of passages
+#: Rows that segment_sums() adds up in one step, sums that row_sums() holds in the processor's cache meanwhile, and words of passages
 #: that a task holds before it adds them to its table.
 GROUP, CACHED, HELD = 16, 1024, 1 << 20
 COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
@@ -68,7 +68,7 @@ def passages(w: Words, size: int) -> np.ndarray:
     return np.cumsum(first) - 1
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, int, int, Words]]:
+def runs(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, int, int, Words]]:
     """(batch, first row, end row, words) for slices of all batches."""
     for b in batches:
         raw, off = folded(b[column])
@@ -124,6 +124,20 @@ class Space:
     table: np.ndarray
 
 
+def by_slot(s: np.ndarray) -> np.ndarray:
+    """The order of slots, equal ones as they stand."""
+    return np.argsort(s.astype(np.uint16), kind="stable")  # BITS are fewer than 16; short integers are sorted by radix
+
+
+def holders(s: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For each slot the number of passages that have it. Words have slots s and passage numbers p, which ascend."""
+    order = by_slot(s)
+    s, p = s[order], p[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1])
+    return np.bincount(s[new], minlength=1 << BITS)
+
+
 def idf_of(docs: DataFrame) -> tuple[np.ndarray, int]:
     """(inverse passage frequency of each slot, passages), over all documents."""
 
@@ -132,8 +146,7 @@ def idf_of(docs: DataFrame) -> tuple[np.ndarray, int]:
         for _, _, _, w in runs(batches):
             if len((w := once(w)).hash):
                 p = passages(w, FIT)
-                key = np.unique((p << BITS) | slot(w.hash))
-                total[:-1] += np.bincount(key & ((1 << BITS) - 1), minlength=1 << BITS)
+                total[:-1] += holders(slot(w.hash), p)
                 total[-1] += p[-1] + 1
         yield from emit_array(total)
 
@@ -148,22 +161,27 @@ def sampled(docs: DataFrame, sample: int) -> DataFrame:
     return texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
 
 
-def segment_sums(table: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+def row_sums(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each column of `at` the sum of these rows of table, some CACHED sums at a time."""
+    out, more = np.empty((at.shape[1], table.shape[1]), table.dtype), np.empty((CACHED, table.shape[1]), table.dtype)
+    for a in range(0, len(out), CACHED):
+        part = out[a : a + CACHED]
+        np.take(table, at[0, a : a + CACHED], axis=0, out=part, mode="clip")  # clip: no copy of out
+        for own in at[1:]:
+            part += np.take(table, own[a : a + CACHED], axis=0, out=more[: len(part)], mode="clip")
+    return out
+
+
+def segment_sums(table: np.ndarray, at: np.ndarray, size: np.ndarray, group: int = GROUP) -> np.ndarray:
     """For each segment (size[i] entries of `at`, 1 or more) the sum of its rows of table, whose last row is zeros.
 
-    By GROUP rows at a time: each step adds whole rows to sums in the cache, several times as fast as reduceat over an axis.
+    By `group` rows at a time: each step adds whole rows to sums in the cache, several times as fast as reduceat over an axis.
     """
     while True:
-        groups = -(-size // GROUP)
-        room = np.full(int(groups.sum()) * GROUP, len(table) - 1, np.int64)
-        room[np.arange(len(at)) + np.repeat((np.cumsum(groups) - groups) * GROUP - (np.cumsum(size) - size), size)] = at
-        room = np.ascontiguousarray(room.reshape(-1, GROUP).T)
-        out, more = np.empty((room.shape[1], table.shape[1]), table.dtype), np.empty((CACHED, table.shape[1]), table.dtype)
-        for a in range(0, len(out), CACHED):
-            part = out[a : a + CACHED]
-            np.take(table, room[0, a : a + CACHED], axis=0, out=part, mode="clip")  # clip: no copy of out
-            for k in range(1, GROUP):
-                part += np.take(table, room[k, a : a + CACHED], axis=0, out=more[: len(part)], mode="clip")
+        groups = -(-size // group)
+        room = np.full(int(groups.sum()) * group, len(table) - 1, np.int64)
+        room[np.arange(len(at)) + np.repeat((np.cumsum(groups) - groups) * group - (np.cumsum(size) - size), size)] = at
+        out = row_sums(table, np.ascontiguousarray(room.reshape(-1, group).T))
         if len(out) == len(size):
             return out
         table, at, size = np.vstack([out, np.zeros((1, out.shape[1]), out.dtype)]), np.arange(len(out)), groups
@@ -173,10 +191,10 @@ def shares(s: np.ndarray, p: np.ndarray, idf: np.ndarray, rows: np.ndarray) -> t
     """(slots, their rows of A'Ax) of the passages whose words have slots s and passage numbers p, which ascend. rows: x by idf, then zeros."""
     begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
     size = np.diff(begin, append=len(p))
-    y = segment_sums(rows, s, size)
+    y = segment_sums(rows, s, size, FIT)
     # Passages count alike, whatever their words weigh.
     y /= np.maximum(np.add.reduceat(idf[s] ** 2, begin), 1e-6)[:, None]
-    order = np.argsort(s.astype(np.uint16), kind="stable")  # BITS are fewer than 16; short integers are sorted by radix
+    order = by_slot(s)
     own = s[order]
     at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     passage = np.repeat(np.arange(len(begin)), size)
@@ -321,6 +339,7 @@ class Searcher:
             k = max(k for k in STARTS if k <= len(i.words))
             self.by_start.setdefault(k, {}).setdefault(int(grams(i.words[:k], k)[0]), []).append(i)
         self.starts = {k: np.array(sorted(v), np.uint64) for k, v in self.by_start.items()}
+        self.begins = {k: np.bincount((v >> U(48)).astype(np.int64), minlength=1 << 16) > 0 for k, v in self.starts.items()}
 
     def copies(self, w: Words, found: list[dict[object, tuple[float, float, float]]]) -> None:
         """Add the items whose words stand in a document without a gap."""
@@ -328,7 +347,8 @@ class Searcher:
             if len(w.hash) < k:
                 continue
             g = grams(w.hash, k)
-            at = np.flatnonzero(starts[np.searchsorted(starts, g).clip(0, len(starts) - 1)] == g)
+            at = np.flatnonzero(self.begins[k][(g >> U(48)).astype(np.int64)])  # few pass, so few are looked for
+            at = at[starts[np.searchsorted(starts, g[at]).clip(0, len(starts) - 1)] == g[at]]
             for i, d in zip(at.tolist(), (np.searchsorted(w.bounds, at, "right") - 1).tolist(), strict=True):
                 for x in self.by_start[k][int(g[i])]:
                     if x.item_id not in found[d] and i + len(x.words) <= w.bounds[d + 1] and (w.hash[i : i + len(x.words)] == x.words).all():
@@ -347,11 +367,7 @@ class Searcher:
         word = own + np.repeat(begin, n)
         again = (w.hash[word] == w.hash[word - 1]) & (own > 0)  # word 0 has none before it
         at[own + np.repeat(first[:-1], n)] = np.where(again, 1 << BITS, slot(w.hash[word]))
-        at = at.reshape(-1, step)
-        out = self.table[at[:, 0]]
-        for k in range(1, step):
-            out += self.table[at[:, k]]
-        return out, first // step
+        return row_sums(self.table, np.ascontiguousarray(at.reshape(-1, step).T)), first // step
 
     def run(self, w: Words) -> list[dict[object, tuple[float, float, float]]]:
         """For each document, item_id: (cosine, LCS's share of the item, of its answer), of its best match."""
@@ -382,7 +398,7 @@ class Searcher:
                 part = v[a : a + turn]
                 norm = np.sqrt(np.einsum("ij,ij->i", part, part))
                 cos = part @ table.T
-                at, which = np.nonzero(cos > COSINE * np.maximum(norm, 1e-9)[:, None])
+                at, which = np.divmod(np.flatnonzero(cos > COSINE * np.maximum(norm, 1e-9)[:, None]), len(items))
                 piece = np.searchsorted(first, a + at, "right") - 1
                 for i, k, q in zip(at.tolist(), which.tolist(), piece.tolist(), strict=True):
                     d, place = int(docs[q]), int(begin[q]) + (a + i - int(first[q])) * step

@@ -506,3 +506,29 @@ def test_stage_takes_no_sample(spark, monkeypatch):
     docs = docs_of(spark, [(1, f"before it {item} after it"), (2, "some other words of no item"), (3, None)])
     left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id int, text string"))
     assert sorted(r["doc_id"] for r in left.collect()) == [2, 3]
+
+
+def test_slots_and_sums_against_loops(monkeypatch):
+    """What the fit counts and adds up; a passage's words are added in one step, and items' starts are found by their first bits and then whole."""
+    rng = np.random.default_rng(4)
+    size = np.array([48, 1, 17, 48, 30, 48])
+    s, p = rng.integers(0, 40, size.sum()), np.repeat(np.arange(6), size)
+    s[:3] = (1 << decontaminate.BITS) - 1
+    got = decontaminate.holders(s, p)
+    assert len(got) == 1 << decontaminate.BITS and all(got[k] == len(set(p[s == k].tolist())) for k in set(s.tolist())) and got.sum() == len(set(zip(s.tolist(), p.tolist(), strict=True)))
+
+    steps, real = [], decontaminate.row_sums
+    monkeypatch.setattr(decontaminate, "row_sums", lambda table, at: steps.append(at.shape) or real(table, at))
+    table = np.vstack([rng.normal(size=(40, 3)), np.zeros((1, 3))])
+    want = np.stack([table[s[p == k] % 40].sum(0) for k in range(6)])
+    assert np.allclose(decontaminate.segment_sums(table, s % 40, size, decontaminate.FIT), want) and steps == [(decontaminate.FIT, 6)]
+    assert np.allclose(decontaminate.segment_sums(table, s % 40, size, 4), want)
+
+    space = decontaminate.Space(np.ones(1 << decontaminate.BITS, np.float32), rng.normal(size=(1 << decontaminate.BITS, decontaminate.RANK)).astype(np.float32))
+    items = [decontaminate.item(k, " ".join(f"i{k}w{j}" for j in range(1 + k % 11))) for k in range(300)]
+    searcher = decontaminate.Searcher(space, items)
+    texts = [" ".join(f"i{k}w{j}" for j in range(1 + k % 11)) + " " + " ".join(f"x{j}" for j in rng.integers(0, 10**6, 50)) for k in range(300)]
+    w = next(decontaminate.runs([pa.record_batch({"text": texts})], most=1 << 30))[3]
+    found = [{} for _ in texts]
+    searcher.copies(w, found)
+    assert found == [{k: (1.0, 1.0, 1.0)} for k in range(300)]
