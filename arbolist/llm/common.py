@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,6 +75,47 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+#: What operators keep in a Python worker from task to task; lean() empties these.
+KEPT_IN_WORKER: list[dict] = []
+#: Bytes that a worker may grow by before it is looked at what it can give back.
+GROWN = 32 << 20
+_least = 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system where this process has grown: workers stay for later stages, whose tasks need room beside them."""
+    global _least
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere than on Linux with glibc
+        if resident() > _least + GROWN:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+            _least = resident()
+
+
+def forget_others() -> None:
+    for kept in KEPT_IN_WORKER:
+        kept.clear()
+
+
+def resident() -> int:
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, for mapInArrow, with nothing of other operators beside it, and what it freed given back.
+
+    The function that is sent names those of this module, and holds nothing of what the driver keeps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow, from a function of one batch."""
 
@@ -79,6 +123,7 @@ def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[
         for b in batches:
             if b.num_rows and (out := f(b)) is not None and out.num_rows:
                 yield out
+        give_back()
 
     return run
 
@@ -162,9 +207,9 @@ def summed_array(rows: DataFrame, shape: tuple[int, ...], dtype: type, cells: in
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = "part int, blob binary"
-    first = rows.repartition(n, F.expr("pmod(xxhash64(spark_partition_id(), part), 1024)")).mapInArrow(add, kind)
+    first = rows.repartition(n, F.expr("pmod(xxhash64(spark_partition_id(), part), 1024)")).mapInArrow(lean(add), kind)
     total = np.zeros(int(np.prod(shape)), dtype)
-    for r in first.repartition(n, "part").mapInArrow(add, kind).collect():  # of fixed size
+    for r in first.repartition(n, "part").mapInArrow(lean(add), kind).collect():  # of fixed size
         a = np.frombuffer(r["blob"], dtype)
         at = slice(r["part"] * cells, r["part"] * cells + len(a))
         total[at] = join(total[at], a)

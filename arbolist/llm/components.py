@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,19 +69,19 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     """
     spark = edges.sparkSession
     kind = "a long, b long"
-    e = edges.select("a", "b").where("a <> b").mapInArrow(forest, kind)
+    e = edges.select("a", "b").where("a <> b").mapInArrow(lean(forest), kind)
     e = written(e.distinct(), f"{folder}/e0")  # dealt out by both ends: a star's edges go to all tasks
     maps: list[DataFrame] = []
     while (left := e.count()) > 0:
         k = len(maps)
         if left <= SMALL:
-            maps.append(written(e.coalesce(1).mapInArrow(named, "node long, to long"), f"{folder}/m{k}"))
+            maps.append(written(e.coalesce(1).mapInArrow(lean(named), "node long, to long"), f"{folder}/m{k}"))
             break
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), f"{folder}/m{k}")
         maps.append(to)
         x = e.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        x = x.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").mapInArrow(forest, kind)
+        x = x.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").mapInArrow(lean(forest), kind)
         e = written(x.distinct(), f"{folder}/e{k + 1}")
     if not maps:
         return spark.createDataFrame([], "node long, comp long")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import col, emit_array, small_batches, summed_array
+from .common import col, emit_array, lean, small_batches, summed_array
 from .textkit import _STEP, ALNUM, U, Words, mix, slices, text_bytes, words
 
 BITS, RANK, OVER = 14, 112, 16
@@ -53,7 +53,7 @@ STARTS = (1, 2, 4, 8)
 FIT_TASKS, FIT_PASSAGES = 8, 1 << 18
 #: Rows that segment_sums() adds up in one step, sums that row_sums() holds in the processor's cache meanwhile, and words of passages
 #: that a task holds before it adds them to its table.
-GROUP, CACHED, HELD = 16, 1024, 1 << 20
+GROUP, CACHED, HELD = 16, 1024, 1 << 19
 COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
 
 
@@ -150,7 +150,7 @@ def idf_of(docs: DataFrame) -> tuple[np.ndarray, int]:
                 total[-1] += p[-1] + 1
         yield from emit_array(total)
 
-    c = summed_array(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, blob binary"), ((1 << BITS) + 1,), np.int64)
+    c = summed_array(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "part int, blob binary"), ((1 << BITS) + 1,), np.int64)
     return np.log((1 + c[-1]) / (1 + c[:-1])).astype(np.float32), int(c[-1])
 
 
@@ -234,7 +234,7 @@ def fit(docs: DataFrame) -> Space:
             add()
         yield from emit_array(total)
 
-    z = summed_array(texts.mapInArrow(run, "part int, blob binary"), (1 << BITS, RANK + OVER), np.float32).astype(np.float64)
+    z = summed_array(texts.mapInArrow(lean(run), "part int, blob binary"), (1 << BITS, RANK + OVER), np.float32).astype(np.float64)
     return space(idf, x.astype(np.float64), z)
 
 
@@ -472,7 +472,7 @@ def search(docs: DataFrame, benchmark: DataFrame, latent: Space | None = None) -
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
 
-        part = rows.mapInArrow(run, kind)
+        part = rows.mapInArrow(lean(run), kind)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], kind)
 
@@ -493,5 +493,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, latent: Space | Non
                 clean = pa.array([not f for f in shared.value.run(w)], pa.bool_())
                 yield b.slice(i, j - i).filter(clean)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(lean(run), out.schema)
     return out.select(*(F.col(k).alias(c) for c, k in zip(docs.columns, places, strict=True)))

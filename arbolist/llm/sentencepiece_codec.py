@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batch, col, small_batches
+from .common import KEPT_IN_WORKER, by_batch, col, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -148,7 +148,7 @@ def build(m: Model, prefix: bool | None = None):
 
 
 class Codec:
-    """Encodes and decodes batches; made once for each Python worker from the bytes of a model file."""
+    """Encodes and decodes batches; made once for each Python worker from the bytes of a model file, and kept until another operator runs there."""
 
     made: dict[int, Codec] = {}
 
@@ -231,6 +231,9 @@ class Codec:
         return [hidden.sub(name, t) if "\U0010ffff" in t and not self.hidden.isdisjoint(x) else t for t, x in zip(tokenizer.decode_batch(ids, skip_special_tokens=False), ids, strict=True)]
 
 
+KEPT_IN_WORKER.append(Codec.made)
+
+
 def library(data: bytes):
     import sentencepiece
 

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, drop_dir, emit_array, shared_dir, small_batches, summed_array, written
+from .common import col, drop_dir, emit_array, lean, shared_dir, small_batches, summed_array, written
 from .components import components
 from .textkit import SPACE, U, mix, shingles, slices, text_bytes, words
 
@@ -102,7 +102,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
                 total += np.bincount((part >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
         yield from emit_array(total)
 
-    return summed_array(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, blob binary"), (1 << SKETCH_BITS,), np.int32)
+    return summed_array(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "part int, blob binary"), (1 << SKETCH_BITS,), np.int32)
 
 
 def _joined(parts: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -135,7 +135,7 @@ def nodes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "node", "other", "bits", "prefix"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, node long, other long, bits binary, prefix binary")
+    return rows.mapInArrow(lean(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n long, node long, other long, bits binary, prefix binary")
 
 
 def told_apart(rows: DataFrame) -> DataFrame:
@@ -219,9 +219,9 @@ def cells(rows: DataFrame, parts: int, counts: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 100_000]), pa.array(v[keep][a : a + 100_000])], names=["cell", "node"])
 
     own = rows.select("node", "prefix")
-    out = own.mapInArrow(gather, kind).repartition(parts, "part").mapInArrow(meet, "cell long, node long")
+    out = own.mapInArrow(lean(gather), kind).repartition(parts, "part").mapInArrow(lean(meet), "cell long, node long")
     if often.any():
-        pairs = own.mapInArrow(hot, "token long, node long").distinct()
+        pairs = own.mapInArrow(lean(hot), "token long, node long").distinct()
         same = pairs.groupBy("token").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.count("*").alias("n")).where("n > 1")
         first = same.groupBy("x", "n").agg(F.min("token").alias("token")).select("token")  # cells with the same nodes are one
         out = out.union(pairs.join(first, "token", "left_semi").select(F.xxhash64("token", F.lit(11)).alias("cell"), "node"))
@@ -382,7 +382,7 @@ def cut(light: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (block, c, piece, np.repeat(some, size), comp, node)], names=["block", "cell", "piece", "cut", "comp", "node"])
 
     order = ("cell", "comp", "n", "node")
-    return light.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "block long, cell long, piece long, cut boolean, comp long, node long")
+    return light.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lean(run), "block long, cell long, piece long, cut boolean, comp long, node long")
 
 
 SUMMARY = "cell long, a long, b long, gid long, piece long, w int, lo long, hi long, c0 long, c1 long, x long, xh long, bits binary, half binary, nodes binary, sizes binary, comps binary, all binary"
@@ -464,7 +464,7 @@ def candidates(blocks: DataFrame, limit: int, parts: int) -> DataFrame:
         if rest is not None:
             yield from made(runs(rest, True))
 
-    return blocks.repartition(parts, "block").sortWithinPartitions("block", "cell", "piece").mapInArrow(run, SUMMARY)
+    return blocks.repartition(parts, "block").sortWithinPartitions("block", "cell", "piece").mapInArrow(lean(run), SUMMARY)
 
 
 def granule_pairs(summaries: DataFrame, limit: int, parts: int, all_wait: bool) -> DataFrame:
@@ -544,7 +544,7 @@ def granule_pairs(summaries: DataFrame, limit: int, parts: int, all_wait: bool)
                     yield pa.RecordBatch.from_arrays([pa.array([int(cell[a])] * len(pairs), pa.int64()), pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["cell", "a", "b"])
 
     own = summaries.select("cell", "gid", "piece", "w", "lo", "hi", "c0", "c1", "x", "xh", "bits", "half")
-    return own.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, a long, b long")
+    return own.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(lean(run), "cell long, a long, b long")
 
 
 def across(pairs: DataFrame, granules: DataFrame, limit: int) -> DataFrame:
@@ -570,7 +570,7 @@ def across(pairs: DataFrame, granules: DataFrame, limit: int) -> DataFrame:
 
     load = granules.select("gid", F.struct("nodes", "sizes", "comps", "all").alias("v"))
     two = few(pairs).join(load.select(F.col("gid").alias("a"), F.col("v").alias("x")), "a").join(load.select(F.col("gid").alias("b"), F.col("v").alias("y")), "b")
-    return two.select("cell", "x", "y").mapInArrow(run, "cell long, a long, b long")
+    return two.select("cell", "x", "y").mapInArrow(lean(run), "cell long, a long, b long")
 
 
 def join(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -645,7 +645,7 @@ def filtered(ids: DataFrame, many: int) -> Callable[[Iterator[pa.RecordBatch]],
                 np.bitwise_or.at(total, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield from emit_array(total)
 
-    shared = ids.sparkSession.sparkContext.broadcast(summed_array(ids.mapInArrow(mark, "part int, blob binary"), (size >> 3,), np.uint8, join=np.bitwise_or))
+    shared = ids.sparkSession.sparkContext.broadcast(summed_array(ids.mapInArrow(lean(mark), "part int, blob binary"), (size >> 3,), np.uint8, join=np.bitwise_or))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -667,7 +667,7 @@ def elements(docs: DataFrame, of: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "node long, elements binary")
     h = F.xxhash64("doc_id").alias("h")
     rows = docs.select("doc_id", "text", h)
-    some = rows.join(F.broadcast(of.select(h)), "h", "left_semi") if many <= FEW else rows.mapInArrow(filtered(of.select(h), many), rows.schema)
+    some = rows.join(F.broadcast(of.select(h)), "h", "left_semi") if many <= FEW else rows.mapInArrow(lean(filtered(of.select(h), many)), rows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -675,7 +675,7 @@ def elements(docs: DataFrame, of: DataFrame) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["d", "v", "o", "elements"])
 
-    found = some.select("doc_id", "text").mapInArrow(run, f"d {docs.schema['doc_id'].dataType.simpleString()}, v long, o long, elements binary")
+    found = some.select("doc_id", "text").mapInArrow(lean(run), f"d {docs.schema['doc_id'].dataType.simpleString()}, v long, o long, elements binary")
     met = (F.col("v") == F.col("name")) & (F.col("o") == F.col("other")) & F.col("d").eqNullSafe(F.col("doc_id"))
     return found.join(of, met).select("node", "elements").dropDuplicates(["node"])
 
@@ -719,4 +719,4 @@ def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b["a"].filter(m), b["b"].filter(m)], names=["a", "b"])
 
     p = few(pairs).join(full.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    return p.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return p.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")

@@ -5,16 +5,18 @@ import hashlib
 import math
 import re
 import struct
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import zstandard
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arbolist.llm import decontaminate, entries, lang_id, pii, quality_net, quality_rules, sentencepiece_codec, signature_tree, textkit, toxicity, warc
+from arbolist.llm import common, decontaminate, entries, lang_id, pii, quality_net, quality_rules, sentencepiece_codec, signature_tree, textkit, toxicity, warc
 from arbolist.llm.common import shared_dir, written
 
 DATA = "/root/testdata/sf0.001"
@@ -532,3 +534,33 @@ def test_slots_and_sums_against_loops(monkeypatch):
     found = [{} for _ in texts]
     searcher.copies(w, found)
     assert found == [{k: (1.0, 1.0, 1.0)} for k in range(300)]
+
+
+def test_worker_memory(monkeypatch):
+    """Passages in fewer than 128 MB beside their words, and a worker's memory given back, with the codec of an operator before."""
+    rng = np.random.default_rng(3)
+    n = decontaminate.HELD
+    s, p = (rng.zipf(1.3, n) % (1 << decontaminate.BITS)).astype(np.int64), np.arange(n) // decontaminate.FIT
+    idf, rows = np.ones(1 << decontaminate.BITS, np.float32), np.zeros(((1 << decontaminate.BITS) + 1, decontaminate.RANK + decontaminate.OVER), np.float32)
+    tracemalloc.start()
+    decontaminate.shares(s, p, idf, rows)
+    assert tracemalloc.get_traced_memory()[1] < 128 << 20
+    tracemalloc.stop()
+
+    assert any(sentencepiece_codec.Codec.made is x for x in common.KEPT_IN_WORKER)
+    made = {1: bytes(1 << 20)}
+    monkeypatch.setattr(common, "KEPT_IN_WORKER", [made])
+    assert len(cloudpickle.dumps(common.lean(iter))) < 10_000  # what the driver keeps is not sent to each task
+    monkeypatch.setattr(common, "_least", 0)
+    before = []
+
+    def run(batches):
+        held = [bytes(1000) for _ in range(200_000)]  # 200 MB
+        last = bytes(1000)  # above them, so that nothing is given back by itself
+        before.append(common.resident())
+        del held
+        yield from batches
+        before.append(len(last))
+
+    batch = pa.record_batch({"x": [1]})
+    assert list(common.lean(run)(iter([batch]))) == [batch] and not made and common.resident() < before[0] - (100 << 20)
