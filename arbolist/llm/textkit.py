@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Bytes handled at once; a longer text makes a slice of its own.
 SLICE = 1 << 21
+#: Bytes of words that are added up place by place.
+LONG = 24
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -107,32 +109,46 @@ def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold_case: b
     return Words(start, end, h, np.searchsorted(start, offsets))
 
 
+def sums_of(raw: np.ndarray, start: np.ndarray, size: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each word the sum of its bytes' numbers, each times its place's: first bytes of all words, then second ones, and so on."""
+    out = np.empty(len(start), np.uint64)
+    order = np.argsort(np.minimum(size, LONG + 1).astype(np.uint8), kind="stable")[::-1]  # short integers are sorted by radix
+    many = len(order) - np.searchsorted(size[order[::-1]].clip(max=LONG + 1), np.arange(LONG + 2), "right")
+    at, own, place = start[order], np.zeros(len(order), np.uint64), place_table(LONG)
+    now = at.copy()
+    for k in range(LONG):
+        if not many[k]:
+            break
+        own[: many[k]] += (table * place[k]).take(raw.take(now[: many[k]]))
+        now[: many[k]] += 1
+    if many[LONG]:  # longer words: all their bytes at once
+        far = size[order[: many[LONG]]]
+        begin = np.cumsum(far) - far
+        nth = np.arange(int(far.sum())) - np.repeat(begin, far)
+        own[: many[LONG]] = np.add.reduceat(table[raw[np.repeat(at[: many[LONG]], far) + nth]] * place_table(int(far.max()))[nth], begin)
+    out[order] = own
+    return out
+
+
 def _words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold_case: bool) -> Words:
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
         return Words(z, z, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    w = inside[raw]
-    first = np.empty(n, bool)
-    first[0] = w[0]
-    np.logical_and(w[1:], ~w[:-1], out=first[1:])
+    w = np.frombuffer(raw.tobytes().translate(inside.tobytes()), bool)
+    edge = np.flatnonzero(w[1:] != w[:-1]) + 1
+    edge = np.concatenate([np.zeros(int(w[0]), np.int64), edge, np.full(int(w[-1]), n)])
+    start, end = edge[0::2], edge[1::2]
     cut = offsets[1:-1]
     cut = cut[(cut > 0) & (cut < n)]
-    first[cut] = w[cut]
-    last = np.empty(n, bool)
-    last[-1] = w[-1]
-    np.logical_and(w[:-1], ~w[1:], out=last[:-1])
-    last[cut - 1] = w[cut - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    cut = np.unique(cut[w[cut] & w[cut - 1]])  # texts that end and begin within a run
+    if len(cut):
+        start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
     if not len(start):
         return Words(start, end, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
     table = np.where(inside, _BYTE[LOWER] if fold_case else _BYTE, U(0))
-    place = np.arange(n, dtype=np.int32)
-    place[: start[0]] = 0
-    place[start[0] :] -= np.repeat(start.astype(np.int32), np.diff(np.append(start, n)))
-    vals = table[raw]
-    vals *= place_table(int((end - start).max()))[np.minimum(place, (end - start).max() - 1)]
-    h = mix(np.add.reduceat(vals, start) + U(0x9E3779B97F4A7C15) * (end - start).astype(np.uint64))
+    size = end - start
+    h = mix(sums_of(raw, start, size, table) + U(0x9E3779B97F4A7C15) * size.astype(np.uint64))
     return Words(start, end, h, np.searchsorted(start, offsets))
 
 

@@ -564,3 +564,26 @@ def test_worker_memory(monkeypatch):
 
     batch = pa.record_batch({"x": [1]})
     assert list(common.lean(run)(iter([batch]))) == [batch] and not made and common.resident() < before[0] - (100 << 20)
+
+
+def test_words_by_place():
+    """Hashes are those of the definition, for short and long words and bytes beyond ASCII, in less memory than 24 bytes a byte of text."""
+    rng = np.random.default_rng(4)
+    texts = ["", "a", "Ab cD", "é" * 9 + " x", "y" * 23 + " " + "z" * 24 + " " + "w" * 25 + " " + "v" * 5000, "tail", "", "next"]
+    raw, off = textkit.text_bytes(pa.array(texts))
+    w = textkit.words(raw, off, textkit.ALNUM)
+    place = textkit.place_table(5000)
+
+    def plain(t: bytes) -> int:
+        total = sum(int(textkit._BYTE[textkit.LOWER[c]]) * int(place[i]) for i, c in enumerate(t)) + 0x9E3779B97F4A7C15 * len(t)
+        return int(textkit.mix(np.array([total % (1 << 64)], np.uint64))[0])
+
+    want = [[plain(x) for x in re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode())] for t in texts]
+    assert [w.hash[a:b].tolist() for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)] == want
+
+    raw = rng.choice(np.frombuffer(b"abcdefgh  ", np.uint8), 1 << 20)
+    tracemalloc.start()
+    textkit.words(raw, np.array([0, len(raw)]), textkit.ALNUM)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * len(raw), most / len(raw)
